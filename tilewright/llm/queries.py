@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup, packing, token_store
 from .common import table
 
 
@@ -12,8 +12,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_tokens(spark, token_store.write_tokens(table(spark, sf_dir, "documents")))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op7_token_store": op7_token_store,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_bpe": op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
