@@ -26,8 +26,10 @@ from .common import cut, text_of
 from .vocab import byte_encoder, path
 
 CAPACITY = 1024
-OPEN_BINS = 8192
-PACKER_ROWS = 65536
+#: Longest-first order opens a bin for most long pieces before short ones fill them, so a
+#: packer may keep about as many bins open as it has rows; fewer cost up to a quarter more.
+OPEN_BINS = 32768
+PACKER_ROWS = 32768
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
