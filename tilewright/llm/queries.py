@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_store
+from . import bpe, exact_dedup, langid, packing, token_store, topk
 from .common import table
 
 
@@ -12,6 +13,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, token_store.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -27,6 +36,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_exact_top_k": op4_exact_top_k,
+        "op5_language_id": op5_language_id,
         "op7_token_store": op7_token_store,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_bpe": op9_bpe,
@@ -34,4 +45,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_exact_top_k": topk.OP4_SQL}
