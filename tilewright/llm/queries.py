@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, token_store, topk
+from . import bpe, exact_dedup, langid, packing, token_store, topk, url_filter
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -36,6 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_url_filter": op2_url_filter,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_language_id": op5_language_id,
         "op7_token_store": op7_token_store,

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut
 
 ORDER = 4
 BROADCAST_WINDOWS = 400_000
@@ -129,7 +129,3 @@ def _threshold(scored: DataFrame) -> float:
         above -= good.get(s, 0)
         below += bad.get(s, 0)
     return max(best)[2] * STEP
-
-
-def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
