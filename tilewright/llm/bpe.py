@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,16 +195,17 @@ def word_bpe(file: str) -> WordBpe:
 
 
 def _round_trip(file: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(file)
         for batch in batches:
-            rows = []
-            for text in batch["text"].tolist():
+            sizes, digests, decoded = [], [], []
+            for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out
+                sizes.append(len(ids) // 4)
+                digests.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -217,4 +218,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(_round_trip(tokenizer or path("word_bpe_49k.json")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_round_trip(tokenizer or path("word_bpe_49k.json")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

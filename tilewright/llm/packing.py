@@ -17,7 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ CAPACITY = 1024
 OPEN_BINS = 32768
 PACKER_ROWS = 32768
 
+PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "place"]
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
 
@@ -77,30 +78,33 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
 def _pieces(file: str, end_id: int, capacity: int):
     end = struct.pack("<I", end_id)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = byte_encoder(file).encode
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_encoder(file)
         place = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids, at = encode(text) + end, 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids, at = ids + end, 0
                 for k, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), place))
+                    rows.append((doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), place))
                     at, place = at + n, place + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "place"])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                yield _batch(zip(*rows, strict=True), PIECE_COLUMNS)
 
     return read
 
 
+def _batch(columns, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "piece" else pa.int64()) for x, n in zip(columns, names, strict=True)], names)
+
+
 def _packed(capacity: int, open_bins: int):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 33
         for batch in batches:
-            placed = [fit.place(n) for n in batch["length"].tolist()]
-            batch["sequence_id"] = [first + number for number, _ in placed]
-            batch["offset"] = [offset for _, offset in placed]
-            yield batch
+            placed = [fit.place(n) for n in batch.column("length").to_pylist()]
+            found = [first + number for number, _ in placed], [offset for _, offset in placed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, "sequence_id", "offset"])
 
     return pack
 
@@ -123,12 +127,12 @@ def pack_documents(
     table gives an empty result. Sequence ids of full pieces are below zero.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    pieces = cut(rows.mapInPandas(_pieces(tokenizer or path("byte_bpe_50k.json"), end_id, capacity), PIECE_SCHEMA))
+    pieces = cut(rows.mapInArrow(_pieces(tokenizer or path("byte_bpe_50k.json"), end_id, capacity), PIECE_SCHEMA))
     full = pieces.filter(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-F.col("place") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     short = pieces.filter(F.col("length") < capacity)
     packers = max(1, -(-short.count() // packer_rows))
     dealt = short.repartition(packers, F.xxhash64("doc_id", "place")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "place")
-    packed = dealt.mapInPandas(_packed(capacity, open_bins), f"{PIECE_SCHEMA}, sequence_id long, offset long").drop("place")
+    packed = dealt.mapInArrow(_packed(capacity, open_bins), f"{PIECE_SCHEMA}, sequence_id long, offset long").drop("place")
     return full.unionByName(packed)

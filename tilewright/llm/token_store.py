@@ -22,9 +22,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, spread, text_of
@@ -121,8 +121,8 @@ class Packed:
 def _shards(file: str, end_id: int, width: int, shard_tokens: int):
     end = struct.pack("<I", end_id)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_encoder(file).encode
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(file)
         part = TaskContext.get().partitionId()
         docs: list = []
         blobs: list[bytes] = []
@@ -130,14 +130,15 @@ def _shards(file: str, end_id: int, width: int, shard_tokens: int):
 
         def shard():
             ids = np.frombuffer(b"".join(blobs), "<u4")
-            bounds = np.cumsum([0, *(len(b) // 4 for b in blobs)]).tolist()
-            return pd.DataFrame({"part": [part], "number": [number], "start": [start], "n_tokens": [ids.size], "doc_ids": [docs], "bounds": [bounds], "codes": [pack(ids, width)]})
+            bounds = np.cumsum([0, *(len(b) // 4 for b in blobs)])
+            row = [part], [number], [start], [ids.size], [docs], [bounds.tolist()], [pack(ids, width)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, SHARD_TYPES, strict=True)], SHARD_COLUMNS)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                docs.append(None if pd.isna(doc_id) else int(doc_id))
-                blobs.append(encode(text) + end)
-                size += len(blobs[-1]) // 4
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                docs.append(doc_id)
+                blobs.append(ids + end)
+                size += len(ids) // 4 + 1
                 if size >= shard_tokens:
                     yield shard()
                     start, number, size = start + size, number + 1, 0
@@ -148,6 +149,8 @@ def _shards(file: str, end_id: int, width: int, shard_tokens: int):
     return write
 
 
+SHARD_COLUMNS = ["part", "number", "start", "n_tokens", "doc_ids", "bounds", "codes"]
+SHARD_TYPES = [*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2, pa.binary()]
 SHARD_SCHEMA = "part long, number long, start long, n_tokens long, doc_ids array<long>, bounds array<long>, codes binary"
 
 
@@ -171,29 +174,29 @@ def write_tokens(
     to = to or f"{ensure_checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ordered.mapInPandas(_shards(tokenizer or path("word_bpe_49k.json"), end_id, width, shard_tokens), SHARD_SCHEMA)
+    shards = ordered.mapInArrow(_shards(tokenizer or path("word_bpe_49k.json"), end_id, width, shard_tokens), SHARD_SCHEMA)
     shards.write.mode("overwrite").option("compression", "none").parquet(to)
     return to
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for base, doc_ids, bounds, codes in zip(batch["base"], batch["doc_ids"], batch["bounds"], batch["codes"], strict=True):
-            packed, crc = Packed(codes), []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                crc.append(zlib.crc32(packed.read(int(a), int(b)).astype("<u4").tobytes()))
-            ids = pd.array([None if x is None or x != x else int(x) for x in doc_ids], "Int64")
-            yield pd.DataFrame({"doc_id": ids, "start": base + np.asarray(bounds[:-1]), "n_tokens": np.diff(bounds), "ids_crc32": np.array(crc, np.int64)})
+def _documents(first: dict[int, int]):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, start, doc_ids, bounds, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                packed = Packed(codes)
+                crc = [zlib.crc32(packed.read(a, b).astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                at = first[part] + start + np.asarray(bounds[:-1], np.int64)
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(at), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read
 
 
-def read_tokens(spark, folder: str) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the shards alone."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
-    sums = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    firsts, total = [], 0
-    for part, n in sums:
-        firsts.append((part, total))
-        total += n
-    bases = spark.createDataFrame(firsts, "first_part long, base long")
-    placed = shards.join(bases, F.col("part") == F.col("first_part")).withColumn("base", F.col("base") + F.col("start"))
-    return placed.select("base", "doc_ids", "bounds", "codes").mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    first, total = {}, 0
+    for row in sorted(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        first[row["part"]] = total
+        total += row["n"]
+    return shards.select("part", "start", "doc_ids", "bounds", "codes").mapInArrow(_documents(first), "doc_id long, start long, n_tokens long, ids_crc32 long")

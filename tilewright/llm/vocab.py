@@ -1,20 +1,33 @@
 """Where tokenizer files are, and whole-text encoding with the tokenizers library.
 
-Natural text repeats its words, and the pre-tokenizers of both supported files never
-let a token cross certain white space. A text is therefore cut at that white space, each
-distinct piece is encoded by the library once per worker, and the packed ids are joined.
-Texts for which a cut might change the result go to the library whole.
+Natural text repeats its words, and the pre-tokenizers of both supported files never let
+a token cross certain white space. A batch of texts is therefore cut at that white space
+by Arrow kernels, its distinct pieces are found there, and only pieces that the worker has
+not met before go to the library, many in one call. The ids of the texts are gathered from
+the pieces' ids. Texts for which a cut might change the result go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces that a worker remembers before it starts afresh; bounds its memory.
-REMEMBER = 700_000
+REMEMBER = 1_200_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 64
+#: Texts that are encoded together, and the bytes after which fewer are.
+TOGETHER, TOGETHER_BYTES = 4096, 32 << 20
+#: Pieces that the library gets as one string.
+JOINED = 2000
+_MARKS = string.punctuation
+#: White space of Unicode that is not ASCII, and what str.isspace adds to it.
+_RARE_SPACE = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def path(name: str) -> str:
@@ -34,53 +47,143 @@ def _load(file: str):
     return t
 
 
+def _slices(texts: pa.Array):
+    """Consecutive parts of bounded size."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER_BYTES, "right"))
+        stop = max(at + 1, min(stop, at + TOGETHER))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 class PieceEncoder:
-    """text -> packed little-endian unsigned 32-bit ids, equal to the library's on the whole text."""
+    """Texts -> packed little-endian unsigned 32-bit ids, equal to the library's on whole texts."""
+
+    #: Texts that match must stay whole.
+    whole_pattern = ""
 
     def __init__(self, file: str, remember: int = REMEMBER):
         self.tokenizer, self.remember = _load(file), remember
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.flags = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.flags[i] = self.flag(token)
+
+    def flag(self, token: str) -> bool:
+        """Whether a token opens or ends a word; see words()."""
+        raise NotImplementedError
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces whose encodings add up to that of the text; None if it must stay whole."""
+    def split(self, texts: pa.Array) -> pa.Array:
+        """Lists of pieces whose encodings add up to those of the texts."""
         raise NotImplementedError
 
     def raw(self, piece: str) -> str:
         """The text that a piece stands for."""
         return piece
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def bare(self, text: str) -> str:
+        """The piece that stands for just this text."""
+        return text
 
+    def words(self, pieces: list[str]) -> list[bytes] | None:
+        """Ids of pieces that are one pre-token each, from one call; None if they are not."""
+        raise NotImplementedError
+
+    def parts(self, piece: str) -> tuple[str, ...]:
+        """A piece as pieces that repeat more often: ASCII marks that end it stand alone.
+
+        A letter and a mark are never in one pre-token, and a contraction needs a letter
+        after its apostrophe. Letters here are those that all versions of Unicode agree on.
+        """
+        core = piece.rstrip(_MARKS)
+        # the lower case of İ ends in a mark
+        if core == piece or not core or not core[-1].isalpha() or core[-1] >= "Ԁ" or core[-1] == "İ":
+            return (piece,)
+        return core, self.bare(piece[len(core) :])
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        if pieces is None:
-            return self.whole([text])[0]
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        plain, out = [], {}
+        for p in pieces:
+            letters = p.lstrip("\0")
+            (plain if letters.isalpha() and (letters.isascii() or max(letters) < "Ԁ") else out.setdefault("", [])).append(p)
+        rest = out.pop("", [])
+        for kind in (lambda p: p[0] == "\0", lambda p: p[0] != "\0"):
+            some = [p for p in plain if kind(p)]
+            for at in range(0, len(some), JOINED):
+                part = some[at : at + JOINED]
+                ids = self.words(part)
+                if ids is None:
+                    rest += part
+                else:
+                    out.update(zip(part, ids, strict=True))
+        out.update(zip(rest, self._each([self.raw(p) for p in rest]), strict=True))
+        return out
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in set(pieces) if p not in known]
+        got = list(map(known.get, pieces))
+        new = [p for p, ids in zip(pieces, got, strict=True) if ids is None]
+        if not new:
+            return got
         if len(known) + len(new) > self.remember:
             known.clear()
-            known[""] = b""
-            new = list(set(pieces))
-        found = dict(zip(new, self.whole([self.raw(p) for p in new]), strict=True))
-        known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
-        return b"".join([known[p] if p in known else found[p] for p in pieces])
+            new, got = pieces, [None] * len(pieces)
+        plans = [self.parts(p) for p in new]
+        lacking = {q for parts in plans for q in parts if q not in known}
+        found = self._fresh(list(lacking))
+        known.update((q, ids) for q, ids in found.items() if len(q) <= LONGEST)
+        fresh = iter([b"".join([found[q] if q in found else known[q] for q in parts]) for parts in plans])
+        return [next(fresh) if ids is None else ids for ids in got]
+
+    def encode_all(self, texts: pa.Array):
+        """Packed ids of each text, one after the other."""
+        for part in _slices(texts.cast(pa.string())):
+            yield from self._encode_slice(part)
+
+    def _encode_slice(self, texts: pa.Array) -> list[bytes]:
+        whole = pc.match_substring_regex(texts, self.whole_pattern).to_numpy(zero_copy_only=False).astype(bool)
+        at_whole = np.flatnonzero(whole)
+        as_whole = dict(zip(at_whole.tolist(), self._each(texts.take(pa.array(at_whole)).to_pylist()) if at_whole.size else [], strict=True))
+        lists = self.split(pc.if_else(pa.array(whole), "", texts))
+        coded = lists.flatten().dictionary_encode()
+        ids = self._lookup(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        pieces = coded.indices.to_numpy()
+        piece_sizes = sizes[pieces]
+        stops = np.concatenate([[0], np.cumsum(piece_sizes)])
+        at = np.repeat(starts[pieces] - stops[:-1], piece_sizes) + np.arange(stops[-1])
+        out = np.frombuffer(b"".join(ids), "<u4")[at]
+        bounds = stops[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)].tolist()
+        return [as_whole[i] if i in as_whole else out[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+
+    def encode(self, text: str) -> bytes:
+        return next(iter(self.encode_all(pa.array([text], pa.string()))))
 
 
 class WordEncoder(PieceEncoder):
-    """For vocabularies with word ends, whose pre-tokenizer drops white space."""
+    """For vocabularies with word ends, whose pre-tokenizer drops white space and case."""
+
+    whole_pattern = rf"<\||[\x00{_RARE_SPACE}]"
+
+    def flag(self, token: str) -> bool:
+        return token.endswith("</w>")
 
-    def pieces(self, text: str) -> list[str] | None:
-        # str.split also splits at these four, which the pre-tokenizer keeps
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+    def split(self, texts: pa.Array) -> pa.Array:
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+    def words(self, pieces: list[str]) -> list[bytes] | None:
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.flags[ids]) + 1
+        if stops.size != len(pieces):  # a letter that does not stay one pre-token
             return None
-        return text.split()
+        return [ids[a:b].tobytes() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
 class ByteEncoder(PieceEncoder):
@@ -89,17 +192,37 @@ class ByteEncoder(PieceEncoder):
     A piece is kept as the text after its space; a piece without one starts with \\0.
     """
 
-    def pieces(self, text: str) -> list[str] | None:
-        if "\0" in text or not text:
-            return None
-        # only where all white space is single spaces and line feeds between words
-        if text.replace("\n", " ").split(" ") != text.split():
-            return None
-        return ("\0" + text.replace("\n", " \n \0")).split(" ")
+    #: only where all white space is single spaces and line feeds between words
+    whole_pattern = rf"<\||[\x00\t\x0b\x0c\r{_RARE_SPACE}]|[ \n][ \n]|^[ \n]|[ \n]\z"
+
+    def flag(self, token: str) -> bool:
+        return token.startswith("Ġ")
+
+    def split(self, texts: pa.Array) -> pa.Array:
+        marked = pc.replace_substring(texts, "\n", " \n \0")
+        return pc.split_pattern(pc.binary_join_element_wise("", marked, "\0"), " ")
+
+    def bare(self, text: str) -> str:
+        return "\0" + text
 
     def raw(self, piece: str) -> str:
         return piece[1:] if piece[0] == "\0" else piece if piece == "\n" else " " + piece
 
+    def words(self, pieces: list[str]) -> list[bytes] | None:
+        if pieces[0][0] == "\0":  # words without a space, a line feed after each
+            text = "\n".join([p[1:] for p in pieces]) + "\n"
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ids == ids[-1])
+            starts = [0, *(stops[:-1] + 1).tolist()]
+        else:
+            ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.flags[ids])
+            stops = np.append(starts[1:], ids.size)
+            starts = starts.tolist()
+        if len(stops) != len(pieces):
+            return None
+        return [ids[a:b].tobytes() for a, b in zip(starts, stops.tolist(), strict=True)]
+
 
 @lru_cache(maxsize=4)
 def word_encoder(file: str) -> WordEncoder:
