@@ -1,0 +1,292 @@
+"""Personal data by weak supervision, in DataFrame operations only.
+
+Base patterns (email, ip, card, phone) are findings as they are. Further candidates (social
+security, bank account and network numbers, phones without a country, names after a
+title) are put to labelers: shape rules, word lists and context rules vote for, against or
+not at all. Expectation maximisation over the votes estimates how reliable each labeler is
+and how probable each candidate; a logistic span classifier is trained on these
+probabilities and has the last word on each candidate.
+
+A text is read once. Its matches and the gaps between them leave as small rows (lengths and
+the gap's last characters); positions are running sums over a document's own rows. Votes are
+counted by pattern, of which there is a fixed number (kinds times 3 to the power of the
+labelers); only these counts come to the driver, where the estimates are made.
+
+Patterns use possessive repeats where nothing can follow, so the regex engine neither
+recurses nor goes back: its work is linear in the text.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import cut, text_of
+
+#: Base kinds in order. Patterns find the same leftmost matches as the plain
+#: ones (noted to the right): a run can only match from its start, or where the last match ended.
+BASE = {
+    "email": r"(?=[A-Za-z0-9._%+-])(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+#: A text without this has no match of the kind.
+NEEDS = {"email": "@", "phone": "+"}
+
+#: Candidate kinds of the method.
+CANDIDATES = {
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "tel": r"(?<![0-9+(.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "mac": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
+}
+CONTEXT = 40
+#: Words of the context labelers, by kind.
+NEAR = {
+    "ssn": "ssn|social security|sozialversicherung|sécurité sociale|seguro social",
+    "tel": "phone|call|tel|fax|mobile|cell|telefon|téléphone|teléfono",
+    "iban": "iban|account|bank|konto|compte|cuenta",
+    "mac": "mac|ethernet|hardware address|wlan|wifi",
+    "name": "name|contact|signed|dear|by|from|author|patient",
+}
+AGAINST = "version|build|isbn|issn|order|invoice|part no|serial|sku|article|figure|table"
+#: Word lists of the gazetteer labeler: countries whose accounts have an IBAN, and common given names.
+IBAN_COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
+GIVEN_NAMES = "Anna|Carlos|David|Elena|Emma|Hans|James|Jean|John|José|Juan|Karl|Laura|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Thomas|William"
+LABELERS = ("shape", "variety", "gazetteer", "context", "against")
+ACCEPT = 0.9
+
+_ORDER = {kind: i for i, kind in enumerate([*BASE, *CANDIDATES])}
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _luhn(digits: Column) -> Column:
+    back = F.reverse(digits)
+
+    def add(total: Column, i: Column) -> Column:
+        d = F.substring(back, i, F.lit(1)).cast("int")
+        return total + F.when(i % 2 == 1, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+
+
+def valid(kind: str, m: Column) -> Column:
+    """Whether a match of a base pattern is a finding."""
+    if kind == "ip":
+        short = lambda p: F.regexp_replace(p, "^0+", "")
+        return F.forall(F.split(m, r"\."), lambda p: (F.length(short(p)) <= 3) & (F.concat(F.lit("0"), F.substring(short(p), 1, 3)).cast("int") <= 255))
+    if kind == "card":
+        digits = _digits(m)
+        return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
+    if kind == "phone":
+        return F.length(_digits(m)).between(8, 15)
+    return F.lit(True)
+
+
+def _zipped(text: Column, pattern: str, needs: str | None = None) -> Column:
+    """Pairs (gap, match) of a text; the last gap has a null match. Null without a match's first sign."""
+    p = F.lit(pattern)
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("match"))
+    return pairs if needs is None else F.when(F.instr(text, needs) > 0, pairs)
+
+
+def _kind_of(m: Column) -> Column:
+    kind = F.lit(None).cast("string")
+    for k, p in reversed(CANDIDATES.items()):
+        # a match alone; what stood around it has been checked
+        kind = F.when(F.regexp_like(m, F.lit("^(?:" + p + ")$")), k).otherwise(kind)
+    return kind
+
+
+_ROW = "array<struct<kind:string,i:int,size:bigint,context:string,match:string>>"
+
+
+def _matches_of(text: Column, kind: str, pattern: str) -> Column:
+    """Structs (kind, i, size, context, match); size: with the gap before it. kind is empty for candidates."""
+
+    def row(z: Column, i: Column) -> Column:
+        context = F.lit("") if kind else F.lower(F.right(z["gap"], F.lit(CONTEXT)))
+        size = (F.length(z["gap"]) + F.length(z["match"])).cast("long")
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), size.alias("size"), context.alias("context"), z["match"].alias("match"))
+
+    found = F.filter(F.transform(_zipped(text, pattern, NEEDS.get(kind)), row), lambda r: r["match"].isNotNull())
+    return F.coalesce(found, F.array().cast(_ROW))
+
+
+def _rows(text: Column) -> Column:
+    """All matches of a text."""
+    return F.concat(*[_matches_of(text, kind, p) for kind, p in BASE.items()], _matches_of(text, "", "|".join(CANDIDATES.values())))
+
+
+def votes(kind: Column, m: Column, context: Column) -> dict[str, Column]:
+    """1 for, -1 against, 0 no vote, by labeler."""
+    pick = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
+    digits = _digits(m)
+    is_ = lambda k: kind == k
+    bad_ssn = F.regexp_like(m, F.lit("^(000|666|9..)-|-00-|-0000$"))
+    shape = (
+        F.when(is_("ssn"), pick(~bad_ssn, bad_ssn))
+        .when(is_("tel"), pick(F.regexp_like(digits, F.lit("^[2-9]..[2-9]")), F.regexp_like(digits, F.lit("^...[01]"))))
+        .when(is_("iban"), pick(F.length(F.regexp_replace(m, " ", "")).between(15, 34), F.length(F.regexp_replace(m, " ", "")) > 34))
+        .when(is_("mac"), pick(~F.regexp_like(m, F.lit("^(..)(:\\1)+$")), F.regexp_like(m, F.lit("^(..)(:\\1)+$"))))
+        .otherwise(pick(F.regexp_like(m, F.lit(r" \p{Lu}\p{Ll}+ \p{Lu}"))))
+    )
+    kinds_of_digits = F.size(F.array_distinct(F.split(digits, "")))
+    variety = F.when(is_("name") | is_("mac"), 0).otherwise(pick(kinds_of_digits >= 4, kinds_of_digits <= 2))
+    gazetteer = (
+        F.when(is_("iban"), pick(F.regexp_like(m, F.lit(f"^({IBAN_COUNTRIES})")), ~F.regexp_like(m, F.lit(f"^({IBAN_COUNTRIES})"))))
+        .when(is_("name"), pick(F.regexp_like(m, F.lit(f" ({GIVEN_NAMES})( |$)"))))
+        .otherwise(0)
+    )
+    near = F.lit(False)
+    for k, words in NEAR.items():
+        near = F.when(is_(k), F.regexp_like(context, F.lit(rf"\b({words})\b"))).otherwise(near)
+    against = pick(F.lit(False), F.regexp_like(context, F.lit(rf"\b({AGAINST})\b")))
+    return dict(zip(LABELERS, (shape, variety, gazetteer, pick(near), against), strict=True))
+
+
+def estimate(patterns: list[tuple], rounds: int = 30) -> list[float]:
+    """Probability of each vote pattern (v1..vn, count), by expectation maximisation.
+
+    Labelers err independently given the truth. What a vote is worth starts at a mild
+    trust and is smoothed by it, so that few candidates cannot overturn it.
+    """
+    n = len(patterns[0]) - 1 if patterns else 0
+    start = {True: {1: 0.6, 0: 0.35, -1: 0.05}, False: {1: 0.1, 0: 0.6, -1: 0.3}}
+    worth = [{y: dict(start[y]) for y in start} for _ in range(n)]
+    prior, prob = 0.3, [0.0] * len(patterns)
+    for _ in range(rounds):
+        for i, row in enumerate(patterns):
+            yes = math.log(prior) + sum(math.log(worth[j][True][row[j]]) for j in range(n))
+            no = math.log(1 - prior) + sum(math.log(worth[j][False][row[j]]) for j in range(n))
+            prob[i] = 1 / (1 + math.exp(max(-50.0, min(50.0, no - yes))))
+        total = sum(row[n] for row in patterns)
+        prior = (sum(p * row[n] for p, row in zip(prob, patterns, strict=True)) + 3) / (total + 10) if total else prior
+        for j in range(n):
+            for y in start:
+                mass = {v: 20 * start[y][v] for v in (1, 0, -1)}
+                for p, row in zip(prob, patterns, strict=True):
+                    mass[row[j]] += row[n] * (p if y else 1 - p)
+                worth[j][y] = {v: m / sum(mass.values()) for v, m in mass.items()}
+    return prob
+
+
+def train(rows: list[tuple[tuple, float, float]], steps: int = 400, rate: float = 0.5) -> dict:
+    """Weights of a logistic classifier on (names of true features, probability, count)."""
+    weights: dict = {}
+    total = sum(c for _, _, c in rows) or 1
+    for _ in range(steps):
+        slope = {k: 0.001 * w for k, w in weights.items()}
+        for names, target, count in rows:
+            z = sum(weights.get(k, 0.0) for k in names)
+            gap = (1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) - target) * count / total
+            for k in names:
+                slope[k] = slope.get(k, 0.0) + gap
+        for k, s in slope.items():
+            weights[k] = weights.get(k, 0.0) - rate * s
+    return weights
+
+
+def _classifier(candidates: DataFrame) -> Column:
+    """Probability of a row with kind and votes, from the votes of all candidates."""
+    counted = candidates.groupBy("kind", *LABELERS).count().collect()
+    counted = sorted((r["kind"], *(r[v] for v in LABELERS), r["count"]) for r in counted)
+    prob = estimate([row[1:] for row in counted])
+    names = lambda row: ("bias", ("kind", row[0]), *((v, x) for v, x in zip(LABELERS, row[1:-1], strict=True)))
+    weights = train([(names(row), p, row[-1]) for row, p in zip(counted, prob, strict=True)])
+    score = F.lit(weights.get("bias", 0.0))
+    for key, w in weights.items():
+        if key != "bias":
+            score = score + F.when(F.col(key[0]) == key[1], w).otherwise(0.0)
+    return 1 / (1 + F.exp(-score))
+
+
+def _accepted(score: Column) -> Column:
+    """The classifier's verdict; a lone vote never suffices."""
+    return (score >= ACCEPT) & (sum((F.when(F.col(v) == 1, 1).otherwise(0) for v in LABELERS), F.lit(0)) >= 2)
+
+
+def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, kind, i, size, context, match) of all matches, in one pass over the texts."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_of(text_col).alias("text"))
+    return rows.select("uid", F.explode(_rows(F.col("text"))).alias("m")).select("uid", "m.*")
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row for each row of docs.
+
+    Spans are kind:start:end in code points (end exclusive), by kind and start, joined by
+    commas; an empty string without any. Added spans that touch a base span are left out.
+    A null text counts as empty. Null and repeated ids are kept; further columns are not
+    read. An empty table gives an empty result. docs must be stable when read twice.
+    """
+    found = cut(_matches(docs, id_col, text_col).withColumn("end", F.sum("size").over(Window.partitionBy("uid", "kind").orderBy("i"))))
+    found = found.withColumn("start", F.col("end") - F.length("match"))
+    base = F.lit(False)
+    for kind in BASE:
+        base = F.when(F.col("kind") == kind, valid(kind, F.col("match"))).otherwise(base)
+    span = lambda order, kind: F.struct(order.cast("int").alias("o"), "start", "end", kind.alias("kind"))
+    order = F.create_map(*[F.lit(x) for pair in _ORDER.items() for x in pair])
+    certain = found.filter((F.col("kind") != "") & base).select("uid", span(order[F.col("kind")], F.col("kind")).alias("span"))
+    asked = found.filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
+    for name, vote in votes(F.col("kind"), F.col("match"), F.col("context")).items():
+        asked = asked.withColumn(name, vote)
+    added = asked.filter(_accepted(_classifier(asked))).select("uid", span(order[F.col("kind")], F.col("kind")).alias("span"))
+    every = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.lit(True).alias("here"))
+    rows = every.unionByName(certain.unionByName(added), allowMissingColumns=True)
+    docs_ = rows.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("here").alias("here"), F.sort_array(F.collect_list("span")).alias("s"))
+    docs_ = docs_.filter("here").select("doc_id", F.filter("s", lambda x: x["o"] < len(BASE)).alias("b"), F.filter("s", lambda x: x["o"] >= len(BASE)).alias("a"))
+    free = F.filter("a", lambda x: ~F.exists("b", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("b", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return docs_.select(
+        "doc_id", *[count(k) for k in BASE], F.sha2(told(F.col("b")).cast("binary"), 256).alias("base_sha256"), told(F.concat("b", free)).alias("spans")
+    )
+
+
+def _marked(text: Column, kind: str, pattern: str) -> Column:
+    """The text with a mark in place of a base kind's findings."""
+
+    def piece(z: Column) -> Column:
+        own = F.when(z["match"].isNull(), "").when(valid(kind, z["match"]), f"[{kind.upper()}]").otherwise(z["match"])
+        return F.concat(z["gap"], own)
+
+    return F.coalesce(F.array_join(F.transform(_zipped(text, pattern, NEEDS.get(kind)), piece), ""), text)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a mark such as [EMAIL] in place of each finding; all columns and rows stay.
+
+    Kinds are taken in order, so of findings that overlap the first kind's is marked. A
+    null text stays null. n_chars, where there is such a column, follows the new text.
+    """
+    asked = _matches(docs, id_col, text_col).filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
+    for name, vote in votes(F.col("kind"), F.col("match"), F.col("context")).items():
+        asked = asked.withColumn(name, vote)
+    asked = asked.select("kind", *LABELERS, _accepted(_classifier(cut(asked.select("kind", *LABELERS)))).alias("yes"))
+    chosen = {(r["kind"], *(r[v] for v in LABELERS)) for r in asked.filter("yes").select("kind", *LABELERS).distinct().collect()}
+    text = F.col(text_col)
+    out = docs
+    for kind, pattern in BASE.items():
+        out = out.withColumn(text_col, _marked(text, kind, pattern))
+    if chosen:
+        keys = F.array(*[F.lit("|".join(map(str, c))) for c in sorted(chosen)])
+
+        def mark(z: Column) -> Column:
+            kind = _kind_of(z["match"])
+            said = votes(kind, z["match"], F.lower(F.right(z["gap"], F.lit(CONTEXT))))
+            key = F.concat_ws("|", kind, *[said[v].cast("string") for v in LABELERS])
+            return F.concat(z["gap"], F.when(z["match"].isNull(), "").when(F.array_contains(keys, key), F.concat(F.lit("["), F.upper(kind), F.lit("]"))).otherwise(z["match"]))
+
+        pairs = _zipped(text, "|".join(CANDIDATES.values()))
+        out = out.withColumn(text_col, F.coalesce(F.array_join(F.transform(pairs, mark), ""), text))
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

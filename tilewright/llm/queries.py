@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, token_store, topk, url_filter
+from . import bpe, exact_dedup, langid, packing, pii, token_store, topk, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, token_store.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ def queries() -> dict:
         "op2_url_filter": op2_url_filter,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_language_id": op5_language_id,
+        "op6_personal_data": op6_personal_data,
         "op7_token_store": op7_token_store,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_bpe": op9_bpe,
