@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, pii, token_store, topk, url_filter
+from . import bpe, exact_dedup, jaccard_join, langid, packing, pii, token_store, topk, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -45,6 +49,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_url_filter": op2_url_filter,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_exact_top_k": op4_exact_top_k,
         "op5_language_id": op5_language_id,
         "op6_personal_data": op6_personal_data,
