@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, langid, packing, pii, token_store, topk, url_filter
+from . import bpe, exact_dedup, jaccard_join, langid, lpf_dedup, packing, pii, token_store, topk, url_filter
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op7_token_store": op7_token_store,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_bpe": op9_bpe,
+        "op10_passage_dedup": op10_passage_dedup,
     }
 
 
