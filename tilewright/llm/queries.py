@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, exact_dedup, jaccard_join, langid, lpf_dedup, packing, pii, token_store, topk, url_filter
 from .common import table
 
@@ -49,8 +51,13 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_exact_dedup": op1_exact_dedup,
         "op2_url_filter": op2_url_filter,
         "op3_jaccard_join": op3_jaccard_join,
