@@ -38,7 +38,7 @@ GRAM = 24
 SAMPLE, FREQUENT = 4096, 12
 FORMS = 2000
 #: Bytes of text whose records make a bucket, and that are hashed at once; records that a task holds.
-BUCKET_BYTES, SLICE, HELD = 16 << 20, 4 << 20, 1 << 21
+BUCKET_BYTES, SLICE, HELD = 16 << 20, 1 << 20, 1 << 20
 
 _U = np.uint64
 _ODD = np.random.default_rng(LENGTH).integers(1, 1 << 63, 8).astype(_U) * _U(2) + _U(1)
@@ -425,12 +425,13 @@ def remove_repeats(
     kind = dict(rows.dtypes)["doc"]
     unique = rows.filter("doc is null").isEmpty() and rows.groupBy("doc").count().filter("count > 1").isEmpty()
     if unique and kind in ("bigint", "int", "smallint", "tinyint"):
-        rows = rows.select(F.col("doc").cast("long").alias("doc"), F.col("doc").alias("id"), "text")
+        # the filter drops nothing; it is there in both joins below, so that they share one exchange of the texts
+        rows = rows.select(F.col("doc").cast("long").alias("doc"), "text").filter("doc is not null")
     else:  # number the rows in their order
         placed = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc").alias("id"), "text")
         ranks = placed.select("uid", "id").repartitionByRange(spread(docs), "id", "uid").sortWithinPartitions("id", "uid")
         ranks = cut(ranks.select("uid", F.monotonically_increasing_id().alias("doc")))
-        rows = placed.join(ranks, "uid").select("doc", "id", "text")
+        rows = placed.join(ranks, "uid").select("doc", "text", "id")
     plain = rows.select("doc", "text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = spread(docs, 8)
@@ -441,10 +442,11 @@ def remove_repeats(
     found = cut(records.mapInArrow(_compared, _FOUND))
 
     asked = found.filter("forms > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "count", "anchor", "forms")).alias("asked"))
-    brought = rows.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_brought(length, gram, buckets, forms), _BROUGHT)
+    brought = rows.join(asked, "doc").select("doc", "text", "asked", *rows.columns[2:]).mapInArrow(_brought(length, gram, buckets, forms), _BROUGHT)
     brought = brought.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    more = cut(brought.mapInArrow(_repeated(length), "doc long, first int, count int"))
+    more = brought.mapInArrow(_repeated(length), "doc long, first int, count int")
     every = found.filter("forms = 0").select("doc", "first", "count").unionByName(more)
     spans = every.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    schema = f"doc_id {dict(rows.dtypes)['id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return rows.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(_assembled(length, texts), schema)
+    shown = "id" if "id" in rows.columns else "doc"
+    schema = "doc_id " + dict(rows.dtypes)[shown] + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    return rows.join(spans, "doc", "left").select(shown, "text", "spans").mapInArrow(_assembled(length, texts), schema)
