@@ -1 +1 @@
-"""."""
+"""Vectorised kernels for what built-in expressions cannot say."""

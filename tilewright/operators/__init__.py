@@ -1 +1 @@
-"""."""
+"""Operators over sprites, pixels, blocks, caches and ledgers."""

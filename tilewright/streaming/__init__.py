@@ -1 +1 @@
-"""."""
+"""Animation ticks and upload events as streams, each with a batch twin."""
