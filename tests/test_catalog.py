@@ -1,6 +1,5 @@
 import pytest
-from conftest import SF
-from oracle import same
+from oracle import SF, same
 
 from tilewright import catalog
 
@@ -26,4 +25,4 @@ def test_rest_stands_without_the_optional_part():
     import sys
 
     block = "import sys; sys.modules['tilewright.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries())"
-    subprocess.run([sys.executable, "-c", block], check=True, cwd=__import__("conftest").__file__.rsplit("/", 2)[0])
+    subprocess.run([sys.executable, "-c", block], check=True, cwd=__import__("oracle").__file__.rsplit("/", 2)[0])

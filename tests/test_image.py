@@ -190,7 +190,7 @@ def test_config_ranges(spark):
 
 
 def test_pushdown_reads_only_needed_columns(spark):
-    from conftest import SF
+    from oracle import SF
 
     from tilewright.sources import fixtures
 
