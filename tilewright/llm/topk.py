@@ -132,7 +132,7 @@ def exact_top_k(
     found = []
     for c in range(chunks):
         q = asked.filter(F.pmod(F.xxhash64("uid"), F.lit(chunks)) == c).toPandas()
-        if not len(q) and c:
+        if not len(q):
             continue
         q = q.sort_values("uid")
         width = max([0, *map(len, q["v"])])
@@ -142,6 +142,8 @@ def exact_top_k(
         order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
         ranked = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         found.append(ranked.join(names, "query_uid").select("query_id", "rank", "vec_id", "score"))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionByName, found)
 
 
