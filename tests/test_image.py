@@ -196,3 +196,46 @@ def test_pushdown_reads_only_needed_columns(spark):
 
     plan = fixtures.ledger_events(spark, SF).filter("atlas = 3").select("atlas", F.col("bytes"))._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan
+
+
+def test_packed_compression_and_fallback(spark):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 256, (6, 10, 4))
+    a[..., 3] = np.where(a[..., 3] < 120, 0, 255)
+    df = frame(spark, a)
+    rows = compress.packed_images(df)
+    for target, size in (("BC1", 8), ("BC7", 16)):
+        own = compress.compress_images(rows, target).first()
+        assert len(own.blocks) == 6 * size and own.reason is None
+
+        def refuses(_):
+            raise RuntimeError("no")
+
+        second = compress.compress_images(rows, target, refuses).first()
+        assert second.blocks == own.blocks and second.reason == "second encoder"
+        assert compress.compress_images(rows, target, lambda t: b"x").first().blocks == b"x"
+    by_expression = bc1.encode(image.blocks(image.bleed(df).withColumn("w", F.lit(10)).withColumn("h", F.lit(6)))).orderBy("by", "bx")
+    want = b"".join((r.block % 2**64).to_bytes(8, "little") for r in by_expression.collect())
+    assert compress.compress_images(rows, "BC1").first().blocks == want
+    bad = rows.withColumn("w", F.lit(11)).first(), rows.withColumn("w", F.lit(0)).first()
+    got = compress.compress_images(spark.createDataFrame([*bad, (3, None, 1, None)], "image_id long, w int, h int, rgba binary")).collect()
+    assert [(r.blocks, r.reason) for r in got] == [(None, "invalid image")] * 3
+
+
+def test_content_hash_by_hand():
+    from tilewright.functions import content
+
+    def plain(data, w, h, target):
+        out = content.SEED ^ (w << 32 | h << 1 | target)
+        words = [int.from_bytes(data[i : i + 8], "little") for i in range(0, len(data) // 8 * 8, 8)] + list(data[len(data) // 8 * 8 :])
+        for word in words:
+            out ^= word
+            for shift, factor in ((30, content.FACTORS[0]), (27, content.FACTORS[1])):
+                out = (out ^ out >> shift) * factor % 2**64
+            out ^= out >> 31
+        return out
+
+    rng = np.random.default_rng(1)
+    for w, h in ((1, 1), (2, 3), (3, 3), (8, 8)):
+        x = rng.integers(0, 256, (5, w * h * 4)).astype(np.uint8)
+        assert content.hashes(x, w, h, 1).tolist() == [plain(r.tobytes(), w, h, 1) for r in x]

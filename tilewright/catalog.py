@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.functions import content
 from tilewright.operators import bc1, cache, fingerprint, image, ledger
 from tilewright.plans import compress
 from tilewright.plans.settle import settle
@@ -436,6 +437,18 @@ def bc7_psnr(spark, sf_dir):
     return image.psnr(fx.pixels(spark, sf_dir), compress.decode_bc7(compress.encode_bc7(cells)), ["image_id"])
 
 
+@query()
+def compress_images(spark, sf_dir):
+    """Packed images, some with a wrong size, through the engine's encoder."""
+    images = compress.packed_images(_sized(spark, sf_dir)).withColumn("w", F.expr("if(image_id % 50 = 7, 9, w)"))
+    return compress.compress_images(images).select("image_id", F.length("blocks").alias("size"), F.sha2("blocks", 256).alias("digest"), "reason")
+
+
+@query()
+def content_hash64(spark, sf_dir):
+    return content.content_hash(compress.packed_images(_sized(spark, sf_dir)))
+
+
 # metrics
 
 _OTHER = "other AS (SELECT image_id, x, y, CAST(r // 2 * 2 AS INTEGER) AS r, g, CAST(CASE WHEN image_id % 5 = 0 THEN b ELSE 255 - b END AS INTEGER) AS b, a FROM pixel)"

@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import bc1 as bc1_kernel
 from tilewright.functions import bc7
 from tilewright.operators import bc1, image
 
-#: (texels as bytes) -> (blocks as bytes); texels are 64 bytes a block.
-Encoder = Callable[[bytes], bytes]
-
 
 def _bc7(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -98,3 +96,66 @@ def compressed(levels: DataFrame, target: str = "BC7") -> DataFrame:
     sizes = own.groupBy("image_id").agg(F.max("w").alias("w"), F.max("h").alias("h"))
     cells = image.blocks(image.bleed(own).join(sizes, "image_id"))
     return encode_bc7(cells) if target == "BC7" else bc1.encode(cells)
+
+
+def packed_images(pixels: DataFrame) -> DataFrame:
+    """(image_id, w, h, rgba) from (image_id, w, h, x, y, r, g, b, a)."""
+    texel = F.struct("y", "x", *image.CHANNELS)
+    one = lambda t: F.concat(*[F.lpad(F.hex(t[c].cast("long")), 2, "0") for c in image.CHANNELS])
+    rows = pixels.groupBy("image_id", "w", "h").agg(F.sort_array(F.collect_list(texel)).alias("t"))
+    return rows.select("image_id", "w", "h", F.unhex(F.array_join(F.transform("t", one), "")).alias("rgba"))
+
+
+def texels_of(rgba: bytes, w: int, h: int) -> np.ndarray:
+    """(blocks, 16, 4): rows of 4 x 4 blocks, edges repeated, after transparent texels have bled."""
+    x = np.frombuffer(rgba, np.uint8, w * h * 4).reshape(h, w, 4).astype(np.int64)
+    out = np.pad(x, ((0, -h % 4), (0, -w % 4), (0, 0)), mode="edge")
+    inside = np.zeros(out.shape[:2], bool)
+    inside[:h, :w] = True
+    cells = lambda v: v.reshape(out.shape[0] // 4, 4, out.shape[1] // 4, 4, *v.shape[2:]).swapaxes(1, 2).reshape(-1, 16, *v.shape[2:])
+    t, real = cells(out), cells(inside)
+    seen = real & (t[..., 3] > 0)
+    mean = (t[..., :3] * seen[..., None]).sum(1) // np.maximum(1, seen.sum(1))[:, None]
+    hidden = t[..., 3] == 0
+    return np.where(np.concatenate([np.repeat(hidden[..., None], 3, -1), np.zeros_like(hidden)[..., None]], -1), np.concatenate([np.repeat(mean[:, None], 16, 1), t[..., 3:]], -1), t).astype(np.uint8)
+
+
+def numpy_encoder(target: str) -> Callable[[np.ndarray], bytes]:
+    """The engine's own encoder: texels to a stream of little-endian blocks."""
+    if target == "BC7":
+        return lambda t: bc7.encode(t)[0].astype("<u8").tobytes()
+    return lambda t: bc1_kernel.encode(t).astype("<u8").tobytes()
+
+
+def compress_images(images: DataFrame, target: str = "BC7", preferred: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """(image_id, blocks, reason) of (image_id, w, h, rgba); a failure costs its own row only.
+
+    An image without a size or with too few bytes is invalid. What the preferred encoder
+    refuses (an exception, or None) the engine's own encoder does; if that fails too, blocks
+    is null and reason says why.
+    """
+    own = numpy_encoder(target)
+
+    def one(w, h, rgba):
+        if w is None or h is None or rgba is None or w <= 0 or h <= 0 or len(rgba) < w * h * 4:
+            return None, "invalid image"
+        reason = None
+        texels = texels_of(rgba, w, h)
+        for encoder in (preferred, own):
+            if encoder is None:
+                continue
+            try:
+                blocks = encoder(texels)
+            except Exception as e:  # the next encoder gets its turn
+                blocks, reason = None, f"{type(e).__name__}: {e}"
+            if blocks is not None:
+                return blocks, None if encoder is own and preferred is None or encoder is preferred else "second encoder"
+        return None, reason or "no encoder took it"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [one(w, h, rgba) for w, h, rgba in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in done], pa.binary()), pa.array([r for _, r in done], pa.string())], ["image_id", "blocks", "reason"])
+
+    rows = images.selectExpr("cast(image_id as long) image_id", "w", "h", "rgba")
+    return rows.mapInArrow(run, "image_id long, blocks binary, reason string")
