@@ -18,14 +18,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers before it starts afresh; bounds its memory.
-REMEMBER = 1_200_000
+REMEMBER = 600_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 64
 #: Texts that are encoded together, and the bytes after which fewer are.
-TOGETHER, TOGETHER_BYTES = 4096, 32 << 20
+TOGETHER, TOGETHER_BYTES = 2048, 16 << 20
 #: Pieces that the library gets as one string.
 JOINED = 2000
 _MARKS = string.punctuation
+_MARK_CLASS = r"!-/:-@\[-`{-~"
+#: A letter and marks at the end. Letters are those that all versions of Unicode agree on, but for one whose lower case ends in a mark.
+_MARKED = rf"[A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{12f}}\x{{131}}-\x{{24f}}\x{{3b1}}-\x{{3c9}}\x{{410}}-\x{{44f}}][{_MARK_CLASS}]+\z"
 #: White space of Unicode that is not ASCII, and what str.isspace adds to it.
 _RARE_SPACE = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -66,7 +69,7 @@ class PieceEncoder:
 
     def __init__(self, file: str, remember: int = REMEMBER):
         self.tokenizer, self.remember = _load(file), remember
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.flags = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -92,18 +95,6 @@ class PieceEncoder:
         """Ids of pieces that are one pre-token each, from one call; None if they are not."""
         raise NotImplementedError
 
-    def parts(self, piece: str) -> tuple[str, ...]:
-        """A piece as pieces that repeat more often: ASCII marks that end it stand alone.
-
-        A letter and a mark are never in one pre-token, and a contraction needs a letter
-        after its apostrophe. Letters here are those that all versions of Unicode agree on.
-        """
-        core = piece.rstrip(_MARKS)
-        # the lower case of İ ends in a mark
-        if core == piece or not core or not core[-1].isalpha() or core[-1] >= "Ԁ" or core[-1] == "İ":
-            return (piece,)
-        return core, self.bare(piece[len(core) :])
-
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -126,25 +117,36 @@ class PieceEncoder:
         return out
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        got = list(map(known.get, pieces))
+        got = list(map(self.known.get, pieces))
         new = [p for p, ids in zip(pieces, got, strict=True) if ids is None]
         if not new:
             return got
-        if len(known) + len(new) > self.remember:
-            known.clear()
-            new, got = pieces, [None] * len(pieces)
-        plans = [self.parts(p) for p in new]
-        lacking = {q for parts in plans for q in parts if q not in known}
-        found = self._fresh(list(lacking))
-        known.update((q, ids) for q, ids in found.items() if len(q) <= LONGEST)
-        fresh = iter([b"".join([found[q] if q in found else known[q] for q in parts]) for parts in plans])
-        return [next(fresh) if ids is None else ids for ids in got]
+        if len(self.known) + len(new) > self.remember:
+            self.known = {"": b""}
+        found = self._fresh(new)
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        return [found[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+
+    def _parted(self, pieces: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Pieces that repeat more often, and which two of them make up each piece.
+
+        ASCII marks that end a piece stand alone: a letter and a mark are never in one
+        pre-token, and a contraction needs a letter after its apostrophe.
+        """
+        ends = pc.match_substring_regex(pieces, _MARKED)
+        cores = pc.if_else(ends, pc.utf8_rtrim(pieces, characters=_MARKS), pieces).dictionary_encode()
+        tails = pc.struct_field(pc.extract_regex(pieces.filter(ends), rf"(?P<t>[{_MARK_CLASS}]+)\z"), "t").dictionary_encode()
+        names = [*cores.dictionary.to_pylist(), *[self.bare(t) for t in tails.dictionary.to_pylist()], ""]
+        both = np.full((len(pieces), 2), len(names) - 1, np.int64)
+        both[:, 0] = cores.indices.to_numpy()
+        both[ends.to_numpy(zero_copy_only=False).astype(bool), 1] = len(cores.dictionary) + tails.indices.to_numpy()
+        return names, both
 
     def encode_all(self, texts: pa.Array):
         """Packed ids of each text, one after the other."""
         for part in _slices(texts.cast(pa.string())):
             yield from self._encode_slice(part)
+            pa.default_memory_pool().release_unused()
 
     def _encode_slice(self, texts: pa.Array) -> list[bytes]:
         whole = pc.match_substring_regex(texts, self.whole_pattern).to_numpy(zero_copy_only=False).astype(bool)
@@ -152,15 +154,17 @@ class PieceEncoder:
         as_whole = dict(zip(at_whole.tolist(), self._each(texts.take(pa.array(at_whole)).to_pylist()) if at_whole.size else [], strict=True))
         lists = self.split(pc.if_else(pa.array(whole), "", texts))
         coded = lists.flatten().dictionary_encode()
-        ids = self._lookup(coded.dictionary.to_pylist())
+        names, both = self._parted(coded.dictionary)
+        ids = self._lookup(names)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
-        pieces = coded.indices.to_numpy()
+        pieces = both[coded.indices.to_numpy()].ravel()
         piece_sizes = sizes[pieces]
         stops = np.concatenate([[0], np.cumsum(piece_sizes)])
         at = np.repeat(starts[pieces] - stops[:-1], piece_sizes) + np.arange(stops[-1])
         out = np.frombuffer(b"".join(ids), "<u4")[at]
-        bounds = stops[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)].tolist()
+        counts = 2 * pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = stops[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [as_whole[i] if i in as_whole else out[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
 
     def encode(self, text: str) -> bytes:
