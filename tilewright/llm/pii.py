@@ -195,8 +195,8 @@ def train(rows: list[tuple[tuple, float, float]], steps: int = 400, rate: float
 
 
 def _classifier(candidates: DataFrame) -> Column:
-    """Probability of a row with kind and votes, from the votes of all candidates."""
-    counted = candidates.groupBy("kind", *LABELERS).count().collect()
+    """Probability of a row with kind and votes, from the counts of each (kind, votes)."""
+    counted = candidates.collect()
     counted = sorted((r["kind"], *(r[v] for v in LABELERS), r["count"]) for r in counted)
     prob = estimate([row[1:] for row in counted])
     names = lambda row: ("bias", ("kind", row[0]), *((v, x) for v, x in zip(LABELERS, row[1:-1], strict=True)))
@@ -238,7 +238,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = found.filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
     for name, vote in votes(F.col("kind"), F.col("match"), F.col("context")).items():
         asked = asked.withColumn(name, vote)
-    added = asked.filter(_accepted(_classifier(asked))).select("uid", span(order[F.col("kind")], F.col("kind")).alias("span"))
+    counted = asked.groupBy("kind", *LABELERS).count()
+    added = asked.filter(_accepted(_classifier(counted))).select("uid", span(order[F.col("kind")], F.col("kind")).alias("span"))
     every = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.lit(True).alias("here"))
     rows = every.unionByName(certain.unionByName(added), allowMissingColumns=True)
     docs_ = rows.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("here").alias("here"), F.sort_array(F.collect_list("span")).alias("s"))
@@ -270,8 +271,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     asked = _matches(docs, id_col, text_col).filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
     for name, vote in votes(F.col("kind"), F.col("match"), F.col("context")).items():
         asked = asked.withColumn(name, vote)
-    asked = asked.select("kind", *LABELERS, _accepted(_classifier(cut(asked.select("kind", *LABELERS)))).alias("yes"))
-    chosen = {(r["kind"], *(r[v] for v in LABELERS)) for r in asked.filter("yes").select("kind", *LABELERS).distinct().collect()}
+    asked = cut(asked.groupBy("kind", *LABELERS).count())
+    chosen = {(r["kind"], *(r[v] for v in LABELERS)) for r in asked.filter(_accepted(_classifier(asked))).collect()}
     text = F.col(text_col)
     out = docs
     for kind, pattern in BASE.items():
