@@ -508,6 +508,12 @@ def bucket_ledger(spark, sf_dir):
     return ledger.bucket_ledger(fx.ledger_events(spark, sf_dir))
 
 
+@query(_with(fx.LEDGER_SQL, _BUCKETS) + " SELECT concat(atlas, '/', bucket) AS key, bytes FROM buckets WHERE NOT starts_with(concat(atlas, '/', bucket), '1')")
+def ledger_reset_prefix(spark, sf_dir):
+    keyed = ledger.bucket_ledger(fx.ledger_events(spark, sf_dir)).select(F.concat_ws("/", "atlas", "bucket").alias("key"), "bytes")
+    return ledger.without(keyed, "1")
+
+
 def _savings(spark, sf_dir):
     return ledger.bucket_ledger(fx.ledger_events(spark, sf_dir)).select("atlas", "bucket", (F.col("bytes") * 3).alias("saved"), F.col("bytes").alias("resident"))
 
@@ -546,7 +552,17 @@ def _requests_to_admit(spark, sf_dir):
     return e.withColumn("device", F.col("atlas") % 25)
 
 
-@query()
+@query(
+    _with(
+        fx.LEDGER_SQL,
+        """ asked AS (SELECT atlas % 25 AS device, row_number() OVER (PARTITION BY atlas % 25 ORDER BY ts, event_id) AS n, atlas, event_id, bytes FROM ledger WHERE NOT reset AND bytes > 0),
+  fold AS (SELECT DISTINCT device, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k BIGINT, v BIGINT)[]) AS held, CAST(0 AS BIGINT) AS event_id, FALSE AS admitted FROM asked
+    UNION ALL SELECT device, n, CASE WHEN fits THEN list_append(others, {'k': atlas, 'v': bytes}) ELSE held END, event_id, fits FROM (
+      SELECT *, coalesce(list_sum(list_transform(others, lambda e: e.v)), 0) + bytes <= 300000 AS fits FROM (
+        SELECT a.device, a.n, a.atlas, a.event_id, a.bytes, f.held, list_filter(f.held, lambda e: e.k <> a.atlas) AS others FROM fold f JOIN asked a ON a.device = f.device AND a.n = f.n + 1)))""",
+    )
+    + " SELECT event_id, admitted FROM fold WHERE n > 0"
+)
 def budget_admission(spark, sf_dir):
     return ledger.admit(_requests_to_admit(spark, sf_dir), 300_000, "device")
 
@@ -592,6 +608,12 @@ def cache_lru_keep(spark, sf_dir):
     return cache.kept_after_prune(fx.cache_entries(spark, sf_dir), 400_000, now=900, stale=500)
 
 
+@query(_with(fx.CACHE_SQL) + " SELECT entry_id FROM cache WHERE key NOT IN (SELECT key FROM cache WHERE entry_id % 10 = 0)")
+def cache_invalidate(spark, sf_dir):
+    entries = fx.cache_entries(spark, sf_dir)
+    return cache.invalidated(entries, entries.filter("entry_id % 10 = 0").select("key")).select("entry_id")
+
+
 @query("SELECT user_id AS key, max(event_id) AS last FROM events GROUP BY user_id ORDER BY last DESC, key LIMIT 64")
 def lru_contents(spark, sf_dir):
     return cache.lru_contents(fx.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq")), 64)

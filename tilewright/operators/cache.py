@@ -68,6 +68,11 @@ def kept_after_prune(entries: DataFrame, cap: int = DEFAULT_CAP, now: int | None
     return kept.unionByName(other.select("entry_id", (~old).alias("kept")))
 
 
+def invalidated(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """entries without those of keys, as after an upload that replaces what they were made from."""
+    return entries.join(keys.select("key").distinct(), "key", "left_anti")
+
+
 def encoded_once(contents: DataFrame, encode, keys: list[str]) -> DataFrame:
     """contents with what encode (a function from distinct contents to keys and results) gives, each content encoded once."""
     return contents.join(encode(contents.dropDuplicates(keys)), keys)

@@ -24,6 +24,11 @@ def bucket_ledger(events: DataFrame) -> DataFrame:
     return latest(alive, "atlas", "bucket")
 
 
+def without(ledger: DataFrame, prefix: str) -> DataFrame:
+    """A ledger by key without the keys that start so; what is left says whether anything is active."""
+    return ledger.filter(~F.col("key").startswith(prefix))
+
+
 def total(ledger: DataFrame) -> DataFrame:
     """One row: the sum of a ledger and whether anything is left."""
     return ledger.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("total"), (F.count("*") > 0).alias("active"))
