@@ -50,7 +50,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if last:  # nothing reads the stage before any more
+            path(last).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(last), True)
+        last = f"{folder}/{k}-{name}"
     return docs
