@@ -103,7 +103,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = named.groupBy("blocks", "name").agg(
         F.max(F.struct("id", "uid")).alias("keep"), F.count("*").alias("group_size")
     )
-    rows = named.join(groups, ["blocks", "name"])
+    # an exchange of its own on either side, so that adaptive execution may split a large group
+    rows = named.join(groups.hint("rebalance"), ["blocks", "name"])
     return rows.select(
         "uid",
         F.col("id").alias("doc_id"),
