@@ -240,7 +240,7 @@ def _brought(length: int, gram: int, buckets: int, most_forms: int):
     """(doc, text, asked) -> the bytes of extents, by anchor; or, for anchors of many forms, strings by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             rows: list[tuple] = []
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for x in asked:
@@ -348,6 +348,12 @@ def _covered(doc, first, count) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.asarray(first).astype(np.int32)), pa.array(np.asarray(count).astype(np.int32))], ["doc", "first", "count"])
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def removed(n: int, spans: list, length: int = LENGTH) -> np.ndarray:
     """Which of n bytes are covered by strings that start at first, first + 1, ... (count of them)."""
     edges = np.zeros(n + 1, np.int32)
@@ -361,7 +367,7 @@ def removed(n: int, spans: list, length: int = LENGTH) -> np.ndarray:
 
 def _assembled(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             sizes, gone, runs, digests, left = [], [], [], [], []
             for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 mask = removed(len(text), spans or [], length)
