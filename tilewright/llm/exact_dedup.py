@@ -16,9 +16,8 @@ to rows are sort-merge joins whose hot keys adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import cut, spread, text_of
 
