@@ -343,27 +343,43 @@ def luma_8x8(spark, sf_dir):
     return fingerprint.luminance(_sized(spark, sf_dir))
 
 
+_PRINT = """luma AS (SELECT image_id, x, y, CAST(299 * r + 587 * g + 114 * b AS DOUBLE) / 1000 AS l FROM pixel),
+coef AS (SELECT image_id, CAST(u AS INTEGER) * 8 + CAST(v AS INTEGER) - 1 AS i, (CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END) * (CASE WHEN v = 0 THEN sqrt(0.5) ELSE 1 END)
+           * sum(l * cos((2 * y + 1) * u * pi() / 16) * cos((2 * x + 1) * v * pi() / 16)) AS c FROM luma, range(8) a(u), range(8) b(v) WHERE u + v > 0 GROUP BY image_id, u, v),
+print AS (SELECT image_id AS id, image_id % 2 = 1 AS tinted, CAST(sum(CASE WHEN c > m THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS fp
+          FROM coef JOIN (SELECT image_id, median(c) AS m FROM coef GROUP BY image_id) USING (image_id) GROUP BY image_id)"""
+_FAMILIES = """edge AS (SELECT p.id AS a, q.id AS b FROM print p JOIN print q ON p.tinted = q.tinted AND bit_count(xor(p.fp, q.fp)) <= 20),
+reach AS (SELECT id AS a, id AS b FROM print UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+family AS (SELECT a AS sprite_id, min(b) AS family_id FROM reach GROUP BY a)"""
+
+
 def _prints(spark, sf_dir):
     prints = fingerprint.fingerprints(fingerprint.luminance(_sized(spark, sf_dir)))
     return prints.select(F.col("image_id").alias("id"), (F.col("image_id") % 2 == 1).alias("tinted"), "fp")
 
 
-@query()
+@query(_with(fx.PIXEL_SQL, _PRINT) + " SELECT id, tinted, fp FROM print")
 def phash(spark, sf_dir):
     return _prints(spark, sf_dir)
 
 
-@query()
+@query(
+    _with(fx.PIXEL_SQL, _PRINT)
+    + " SELECT p.id AS a, q.id AS b, CAST(bit_count(xor(p.fp, q.fp)) AS INTEGER) AS distance FROM print p JOIN print q ON p.id < q.id AND p.tinted = q.tinted AND bit_count(xor(p.fp, q.fp)) <= 20"
+)
 def phash_pairs(spark, sf_dir):
     return fingerprint.near_pairs(_prints(spark, sf_dir), NEAR)
 
 
-@query()
+@query(_with(fx.PIXEL_SQL, _PRINT, _FAMILIES) + " SELECT sprite_id, family_id FROM family")
 def phash_families(spark, sf_dir):
     return fingerprint.families(_prints(spark, sf_dir), NEAR)
 
 
-@query()
+@query(
+    _with(fx.PIXEL_SQL, _PRINT, _FAMILIES)
+    + " SELECT count(*) AS sprites, count(DISTINCT family_id) AS families, greatest(0, count(*) - count(DISTINCT family_id)) AS duplicates FROM family"
+)
 def phash_duplicates(spark, sf_dir):
     return fingerprint.duplicate_count(fingerprint.families(_prints(spark, sf_dir), NEAR))
 
@@ -444,6 +460,22 @@ def compress_images(spark, sf_dir):
     return compress.compress_images(images).select("image_id", F.length("blocks").alias("size"), F.sha2("blocks", 256).alias("digest"), "reason")
 
 
+@query(
+    _with(fx.PIXEL_SQL, fx.SPRITE_SQL, _ATLAS, _mip_sql(LEVELS))
+    + """ SELECT level, w, h, CASE WHEN level % 2 = 0 THEN 'cache' ELSE 'encoded' END AS source, CAST((w + 3) // 4 * ((h + 3) // 4) * 16 AS BIGINT) AS size, level >= 3 AS retained
+  FROM (SELECT DISTINCT level, w, h FROM mip) WHERE level < 6"""
+)
+def compress_driver(spark, sf_dir):
+    """The whole plan: levels, those that the cache holds (the even ones), the rest encoded, up to the first that fails (the sixth)."""
+    images = compress.packed_images(_chain(spark, sf_dir).drop("image_id").withColumnRenamed("level", "image_id"))
+    images = settle(images.withColumn("rgba", F.expr("if(image_id = 6, substring(rgba, 1, 3), rgba)")))
+    stored = f"{_shared(spark)}/blocks-{uuid.uuid4().hex}"
+    first = compress.driver(images.filter("image_id % 2 = 0"), None, 4)
+    first.select("key", "w", "h", "blocks").write.parquet(stored)
+    out = compress.driver(images, spark.read.parquet(stored), 4)
+    return out.select(F.col("image_id").alias("level"), "w", "h", "source", F.length("blocks").cast("long").alias("size"), (F.col("image_id") >= 3).alias("retained"))
+
+
 @query()
 def content_hash64(spark, sf_dir):
     return content.content_hash(compress.packed_images(_sized(spark, sf_dir)))

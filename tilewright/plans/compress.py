@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import bc1 as bc1_kernel
 from tilewright.functions import bc7
-from tilewright.operators import bc1, image
+from tilewright.operators import bc1, cache, image
 
 
 def _bc7(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,3 +159,26 @@ def compress_images(images: DataFrame, target: str = "BC7", preferred: Callable[
 
     rows = images.selectExpr("cast(image_id as long) image_id", "w", "h", "rgba")
     return rows.mapInArrow(run, "image_id long, blocks binary, reason string")
+
+
+def driver(levels: DataFrame, stored: DataFrame | None, quality: int, target: str = "BC7") -> DataFrame:
+    """(image_id, w, h, key, blocks, source) of (image_id, w, h, rgba), the levels of one atlas by number.
+
+    A level whose key, size and payload are stored comes from there; each distinct other
+    level is encoded once. Levels from the first that fails on are left out.
+    """
+    block = image.BLOCK_BYTES[target]
+    keyed = levels.withColumn("key", cache.content_key(F.col("rgba"), quality))
+    size = F.expr(f"cast((w + 3) div 4 * ((h + 3) div 4) * {block} as bigint)")
+    if stored is None:
+        known, missing = keyed.limit(0).select("image_id", "w", "h", "key", F.lit(None).cast("binary").alias("blocks")), keyed
+    else:
+        sound = stored.filter(F.length("blocks") == size).select("key", "w", "h", F.col("blocks")).dropDuplicates(["key", "w", "h"])
+        known = keyed.join(sound, ["key", "w", "h"]).select("image_id", "w", "h", "key", "blocks")
+        missing = keyed.join(sound.select("key", "w", "h"), ["key", "w", "h"], "left_anti")
+    encoded = compress_images(missing, target).select("image_id", "blocks")
+    fresh = missing.select("image_id", "w", "h", "key").join(encoded, "image_id")
+    every = known.withColumn("source", F.lit("cache")).unionByName(fresh.withColumn("source", F.lit("encoded")).select("image_id", "w", "h", "key", "blocks", "source"))
+    every = every.withColumn("ok", F.coalesce(F.length("blocks") == size, F.lit(False)))
+    failed = every.filter(~F.col("ok")).agg(F.min("image_id").alias("failed"))
+    return every.join(F.broadcast(failed)).filter("failed is null or image_id < failed").drop("failed", "ok")
