@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .vocab import LONGEST, REMEMBER, _load, path
+from .vocab import REMEMBER, WordEncoder, path
 
 #: Stands for the end of a word in the automaton; never part of a byte-level string.
 END = "￿"
@@ -126,63 +127,43 @@ class OffsetTable:
         return self.bytes[at[: at.size - self.gap]].tobytes()
 
 
-class WordBpe:
-    """The whole tokenizer of a vocabulary with word ends: text -> packed ids, ids -> text.
+class WordBpe(WordEncoder):
+    """The whole tokenizer of a vocabulary with word ends: texts -> packed ids, ids -> text.
 
     Normalisation and the cut into pre-tokens are the library's; merging and decoding are
-    this module's. White space is dropped by the pre-tokenizer, so a text is the sum of
-    its words, each of which is encoded once per worker.
+    this module's. White space is dropped by the pre-tokenizer, so a text is the sum of its
+    words; a worker merges each distinct word once.
     """
 
     def __init__(self, file: str, remember: int = REMEMBER):
+        super().__init__(file, remember)
         with open(file) as f:
             spec = json.load(f)
-        lib = _load(file)
-        self.normalize, self.cut = lib.normalizer.normalize_str, lib.pre_tokenizer.pre_tokenize_str
+        self.normalize, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.merger = Backtracker(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         names = {i: s for s, i in (spec["model"]["vocab"] | self.special).items()}
         self.table = OffsetTable([names.get(i, "") for i in range(max(names) + 1)])
-        self.remember = remember
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for k, part in enumerate(self.split(text)):
-            if k % 2:
-                out.append(self.special[part])
-            elif part:
-                for piece, _ in self.cut(self.normalize(part)):
-                    ids = self.parts.get(piece)
-                    if ids is None:
-                        ids = self.merger.encode(piece)
-                        if len(piece) <= LONGEST:
-                            self.parts[piece] = ids
-                    out += ids
-        return out
+    def words(self, pieces: list[str]) -> list[bytes] | None:
+        cut = self.cut(self.normalize(" ".join(pieces)))
+        if len(cut) != len(pieces):  # a letter that does not stay one pre-token
+            return None
+        return [array("I", self.merger.encode(p)).tobytes() for p, _ in cut]
 
-    def encode(self, text: str) -> bytes:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return np.array(self._ids(text), "<u4").tobytes()  # str.split splits at these
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) + len(words) > self.remember:
-            known.clear()
-            self.parts.clear()
+    def _each(self, texts: list[str]) -> list[bytes]:
         out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = np.array(self._ids(w), "<u4").tobytes()
-                if len(w) <= LONGEST:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        for text in texts:
+            ids: list[int] = []
+            for k, part in enumerate(self.split_special(text)):
+                if k % 2:
+                    ids.append(self.special[part])
+                elif part:
+                    for piece, _ in self.cut(self.normalize(part)):
+                        ids += self.merger.encode(piece)
+            out.append(array("I", ids).tobytes())
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return self.table.decode(np.frombuffer(ids, "<u4"))
@@ -199,8 +180,7 @@ def _round_trip(file: str):
         bpe = word_bpe(file)
         for batch in batches:
             sizes, digests, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
+            for ids in bpe.encode_all(batch.column(1)):
                 sizes.append(len(ids) // 4)
                 digests.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
