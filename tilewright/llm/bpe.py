@@ -31,7 +31,7 @@ from .vocab import REMEMBER, WordEncoder, path
 #: Stands for the end of a word in the automaton; never part of a byte-level string.
 END = "￿"
 #: Compatible pairs that a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 class Backtracker:
