@@ -388,6 +388,11 @@ def _assembled(length: int, texts: bool):
     return run
 
 
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Buckets in turn to the partitions, so that each has as many."""
+    return rows.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
+
+
 def _frequent(rows: DataFrame, length: int, gram: int, sample: int, frequent: int) -> np.ndarray:
     """Anchors that are in at least frequent of about sample documents."""
     share = min(1.0, sample / max(1, rows.count()))
@@ -444,12 +449,12 @@ def remove_repeats(
     buckets = max(8 * parts, -(-total // BUCKET_BYTES))
     often = _frequent(plain, length, gram, sample, frequent)
     records = plain.mapInArrow(_anchored(length, gram, buckets, often, held), "bucket long, sure boolean, records binary")
-    records = records.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    records = _dealt(records, parts)
     found = cut(records.mapInArrow(_compared, _FOUND))
 
     asked = found.filter("forms > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "count", "anchor", "forms")).alias("asked"))
     brought = rows.join(asked, "doc").select("doc", "text", "asked", *rows.columns[2:]).mapInArrow(_brought(length, gram, buckets, forms), _BROUGHT)
-    brought = brought.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    brought = _dealt(brought, parts)
     more = brought.mapInArrow(_repeated(length), "doc long, first int, count int")
     every = found.filter("forms = 0").select("doc", "first", "count").unionByName(more)
     spans = every.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
