@@ -33,8 +33,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A text without this has no match of the kind.
-NEEDS = {"email": "@", "phone": "+"}
+#: A text without a match of this has no finding of the kind (empty: of any candidate kind); one look instead of two cuts.
+NEEDS = {
+    "email": "@",
+    "phone": r"\+",
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15}",
+    "": r"(?=[0-9A-Z:])(?:[0-9][0-9][.-][0-9]{4}|[A-Z][A-Z][0-9][0-9]|:[0-9A-Fa-f]{2}:|(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.?\x20\p{Lu})",
+}
 
 #: Candidate kinds of the method.
 CANDIDATES = {
@@ -91,10 +97,9 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def _zipped(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Pairs (gap, match) of a text; the last gap has a null match. Null without a match's first sign."""
-    p = F.lit(pattern)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("match"))
-    return pairs if needs is None else F.when(F.instr(text, needs) > 0, pairs)
+    """Pairs (gap, match) of a text; the last gap has a null match. Null without a match of needs, or else of the pattern."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    return F.when(F.regexp_like(text, F.lit(needs or pattern)), pairs)
 
 
 def _kind_of(m: Column) -> Column:
@@ -213,10 +218,16 @@ def _accepted(score: Column) -> Column:
     return (score >= ACCEPT) & (sum((F.when(F.col(v) == 1, 1).otherwise(0) for v in LABELERS), F.lit(0)) >= 2)
 
 
-def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _matches(docs: DataFrame, text_col: str, rows_of=_rows) -> DataFrame:
     """(uid, kind, i, size, context, match) of all matches, in one pass over the texts."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_of(text_col).alias("text"))
-    return rows.select("uid", F.explode(_rows(F.col("text"))).alias("m")).select("uid", "m.*")
+    return rows.select("uid", F.explode(rows_of(F.col("text"))).alias("m")).select("uid", "m.*")
+
+
+def _asked(matches: DataFrame) -> DataFrame:
+    """Candidates with their kinds and votes."""
+    asked = matches.filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
+    return asked.withColumns(votes(F.col("kind"), F.col("match"), F.col("context")))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +238,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text counts as empty. Null and repeated ids are kept; further columns are not
     read. An empty table gives an empty result. docs must be stable when read twice.
     """
-    found = cut(_matches(docs, id_col, text_col).withColumn("end", F.sum("size").over(Window.partitionBy("uid", "kind").orderBy("i"))))
+    found = cut(_matches(docs, text_col).withColumn("end", F.sum("size").over(Window.partitionBy("uid", "kind").orderBy("i"))))
     found = found.withColumn("start", F.col("end") - F.length("match"))
     base = F.lit(False)
     for kind in BASE:
@@ -235,9 +246,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     span = lambda order, kind: F.struct(order.cast("int").alias("o"), "start", "end", kind.alias("kind"))
     order = F.create_map(*[F.lit(x) for pair in _ORDER.items() for x in pair])
     certain = found.filter((F.col("kind") != "") & base).select("uid", span(order[F.col("kind")], F.col("kind")).alias("span"))
-    asked = found.filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
-    for name, vote in votes(F.col("kind"), F.col("match"), F.col("context")).items():
-        asked = asked.withColumn(name, vote)
+    asked = _asked(found)
     counted = asked.groupBy("kind", *LABELERS).count()
     added = asked.filter(_accepted(_classifier(counted))).select("uid", span(order[F.col("kind")], F.col("kind")).alias("span"))
     every = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.lit(True).alias("here"))
@@ -268,9 +277,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Kinds are taken in order, so of findings that overlap the first kind's is marked. A
     null text stays null. n_chars, where there is such a column, follows the new text.
     """
-    asked = _matches(docs, id_col, text_col).filter("kind = ''").withColumn("kind", _kind_of(F.col("match"))).filter("kind is not null")
-    for name, vote in votes(F.col("kind"), F.col("match"), F.col("context")).items():
-        asked = asked.withColumn(name, vote)
+    asked = _asked(_matches(docs, text_col, lambda text: _matches_of(text, "", "|".join(CANDIDATES.values()))))
     asked = cut(asked.groupBy("kind", *LABELERS).count())
     chosen = {(r["kind"], *(r[v] for v in LABELERS)) for r in asked.filter(_accepted(_classifier(asked))).collect()}
     text = F.col(text_col)
@@ -286,7 +293,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             key = F.concat_ws("|", kind, *[said[v].cast("string") for v in LABELERS])
             return F.concat(z["gap"], F.when(z["match"].isNull(), "").when(F.array_contains(keys, key), F.concat(F.lit("["), F.upper(kind), F.lit("]"))).otherwise(z["match"]))
 
-        pairs = _zipped(text, "|".join(CANDIDATES.values()))
+        pairs = _zipped(text, "|".join(CANDIDATES.values()), NEEDS[""])
         out = out.withColumn(text_col, F.coalesce(F.array_join(F.transform(pairs, mark), ""), text))
     if "n_chars" in docs.columns and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
