@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, trimmed
 from .vocab import REMEMBER, WordEncoder, path
 
 #: Stands for the end of a word in the automaton; never part of a byte-level string.
@@ -198,4 +198,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_round_trip(tokenizer or path("word_bpe_49k.json")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(trimmed(_round_trip(tokenizer or path("word_bpe_49k.json"))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

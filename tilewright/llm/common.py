@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +73,21 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run (batches -> batches), giving the worker's free memory back to the system when it ends.
+
+    Workers live on between stages; what a stage has freed would otherwise stay with them.
+    """
+
+    @wraps(run)
+    def ends(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return ends

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Language families by ISO 639-1 code. Codes that are missing here are families of their own.
 FAMILIES = {
     "germanic": ("da", "de", "en", "is", "nl", "no", "sv"),
@@ -145,7 +147,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     share = F.lit(False)
     for lang, n in sorted(counts.items()):
         share = share | ((F.col("lang") == lang) & (F.col("order") < int(min(1.0, (1.25 * sample + 50) / n) * (1 << 40))))
-    got = rows.filter(share).mapInPandas(_sent, "lang string, order long, x binary").toPandas()
+    got = rows.filter(share).mapInPandas(trimmed(_sent), "lang string, order long, x binary").toPandas()
     got = got.sort_values(["lang", "order", "x"]).groupby("lang").head(sample)
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, FEATURES).astype(np.float32)
     langs = got["lang"].tolist()
@@ -193,7 +195,7 @@ def predict(docs: DataFrame, model: Hierarchy, keep: list[Column], text_col: str
     text = "__text"
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != text)
-    return rows.mapInArrow(_predicted(model, text), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(_predicted(model, text)), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -210,4 +212,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows in which no language is found ("und"), all columns unchanged."""
     model = fit(docs.filter(~held_out(id_col)), text_col, lang_col, id_col)
-    return docs.mapInArrow(_known_only(model, text_col), docs.schema)
+    return docs.mapInArrow(trimmed(_known_only(model, text_col)), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, mix, spread, text_of
+from .common import by_group, cut, mix, spread, text_of, trimmed
 
 LENGTH = 100
 GRAM = 24
@@ -407,7 +407,7 @@ def _frequent(rows: DataFrame, length: int, gram: int, sample: int, frequent: in
                 anchor, n = np.unique(pairs, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(n, pa.int64())], ["anchor", "n"])
 
-    found = some.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent)
+    found = some.mapInArrow(trimmed(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent)
     return np.array([r["anchor"] for r in found.select("anchor").collect()], np.int64).view(_U)
 
 
@@ -448,16 +448,16 @@ def remove_repeats(
     parts = spread(docs, 8)
     buckets = max(8 * parts, -(-total // BUCKET_BYTES))
     often = _frequent(plain, length, gram, sample, frequent)
-    records = plain.mapInArrow(_anchored(length, gram, buckets, often, held), "bucket long, sure boolean, records binary")
+    records = plain.mapInArrow(trimmed(_anchored(length, gram, buckets, often, held)), "bucket long, sure boolean, records binary")
     records = _dealt(records, parts)
-    found = cut(records.mapInArrow(_compared, _FOUND))
+    found = cut(records.mapInArrow(trimmed(_compared), _FOUND))
 
     asked = found.filter("forms > 0").groupBy("doc").agg(F.collect_list(F.struct("first", "count", "anchor", "forms")).alias("asked"))
-    brought = rows.join(asked, "doc").select("doc", "text", "asked", *rows.columns[2:]).mapInArrow(_brought(length, gram, buckets, forms), _BROUGHT)
+    brought = rows.join(asked, "doc").select("doc", "text", "asked", *rows.columns[2:]).mapInArrow(trimmed(_brought(length, gram, buckets, forms)), _BROUGHT)
     brought = _dealt(brought, parts)
-    more = brought.mapInArrow(_repeated(length), "doc long, first int, count int")
+    more = brought.mapInArrow(trimmed(_repeated(length)), "doc long, first int, count int")
     every = found.filter("forms = 0").select("doc", "first", "count").unionByName(more)
     spans = every.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     shown = "id" if "id" in rows.columns else "doc"
     schema = "doc_id " + dict(rows.dtypes)[shown] + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return rows.join(spans, "doc", "left").select(shown, "text", "spans").mapInArrow(_assembled(length, texts), schema)
+    return rows.join(spans, "doc", "left").select(shown, "text", "spans").mapInArrow(trimmed(_assembled(length, texts)), schema)

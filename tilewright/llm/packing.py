@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, trimmed
 from .vocab import byte_encoder, path
 
 CAPACITY = 1024
@@ -127,12 +127,12 @@ def pack_documents(
     table gives an empty result. Sequence ids of full pieces are below zero.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    pieces = cut(rows.mapInArrow(_pieces(tokenizer or path("byte_bpe_50k.json"), end_id, capacity), PIECE_SCHEMA))
+    pieces = cut(rows.mapInArrow(trimmed(_pieces(tokenizer or path("byte_bpe_50k.json"), end_id, capacity)), PIECE_SCHEMA))
     full = pieces.filter(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-F.col("place") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     short = pieces.filter(F.col("length") < capacity)
     packers = max(1, -(-short.count() // packer_rows))
     dealt = short.repartition(packers, F.xxhash64("doc_id", "place")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "place")
-    packed = dealt.mapInArrow(_packed(capacity, open_bins), f"{PIECE_SCHEMA}, sequence_id long, offset long").drop("place")
+    packed = dealt.mapInArrow(trimmed(_packed(capacity, open_bins)), f"{PIECE_SCHEMA}, sequence_id long, offset long").drop("place")
     return full.unionByName(packed)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, spread, text_of
+from .common import ensure_checkpoint_dir, spread, text_of, trimmed
 from .vocab import path, word_encoder
 
 MAGIC = b"DAC1"
@@ -174,7 +174,7 @@ def write_tokens(
     to = to or f"{ensure_checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ordered.mapInArrow(_shards(tokenizer or path("word_bpe_49k.json"), end_id, width, shard_tokens), SHARD_SCHEMA)
+    shards = ordered.mapInArrow(trimmed(_shards(tokenizer or path("word_bpe_49k.json"), end_id, width, shard_tokens)), SHARD_SCHEMA)
     shards.write.mode("overwrite").option("compression", "none").parquet(to)
     return to
 
@@ -199,4 +199,4 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     for row in sorted(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
         first[row["part"]] = total
         total += row["n"]
-    return shards.select("part", "start", "doc_ids", "bounds", "codes").mapInArrow(_documents(first), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "start", "doc_ids", "bounds", "codes").mapInArrow(trimmed(_documents(first)), "doc_id long, start long, n_tokens long, ids_crc32 long")
