@@ -135,3 +135,63 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 300), (300, 250)], "a long, b long")
     assert {r.node: r.root for r in jaccard_join.connect(edges).collect()} == {k: 0 for k in range(101)} | {200: 200, 250: 200, 300: 200}
     assert jaccard_join.connect(edges.limit(0)).count() == 0
+
+
+def short_texts(n, words_, differ, rng):
+    """Texts of so many words around one phrase, of which some positions at the ends differ."""
+    phrase = [f"p{k}" for k in range(words_)]
+    rows = []
+    for _ in range(n):
+        t = list(phrase)
+        for k in rng.sample(differ, rng.randint(0, len(differ))):
+            t[k] = rng.choice(["", *[f"x{rng.randrange(40)}" for _ in range(3)]])
+        rows.append(" ".join(w for w in t if w))
+    return rows
+
+
+@pytest.mark.parametrize("depth", [3, 4, 6])
+def test_short_texts_around_a_frequent_phrase(stored, depth):
+    rng = random.Random(depth)
+    a8, a9 = [f"a{k}" for k in range(8)], [f"b{k}" for k in range(9)]
+    texts = [" ".join(a8), " ".join([*a8, "z"]), " ".join(a9), " ".join([*a9, "z"]), " ".join(["y", *a9])]  # 4/5 and 5/6
+    texts += [" ".join(rng.choices(a8, k=2) + a8) + f" q{k}" for k in range(20)] + [" ".join(a9) + f" r{k} s{k}" for k in range(20)]
+    for n in range(5, 22):
+        texts += short_texts(14, n, [0, 1, n - 2, n - 1], rng)
+    texts += texts[:9]
+    rows = list(enumerate(texts))
+    links, root = brute(rows)
+    # the hottest bucket holds about 100 sets or more; a lower limit makes for a deeper split
+    limit = {3: 5, 4: 2, 6: 1}[depth]
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), limit=limit).collect()}
+    assert {i: got[i].n_links for i in got} == dict(enumerate(links))
+    assert {i: got[i].class_id for i in got} == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("size", [12, 13, 16, 24])
+def test_sets_above_the_small_ones_meet_at_the_deepest_split(size):
+    n, depth, missed = jaccard_join.runs(), jaccard_join.DEEPEST, 0
+    for k in range(6):
+        rng = np.random.default_rng(1000 * size + k)
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.sort(a[: -(-size * 4 // 5)])  # the least part with a Jaccard similarity of 0.8
+        if b.size <= jaccard_join.small_size(0.8):
+            b = a[:-1]
+        below = []
+        for s in (a, b):
+            own = jaccard_join.chosen(s, jaccard_join._share(s.size, 0.8, 2.0), n)
+            with np.errstate(over="ignore"):
+                below.append({x for t in own.tolist() for x in jaccard_join.split(s, t, 0.8, 2.0, depth)})
+        missed += not (below[0] & below[1])
+    assert missed == 0
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9, 1.0])
+def test_short_texts_at_other_similarities(stored, similarity):
+    rng = random.Random(9)
+    texts = [t for n in range(5, 24, 3) for t in short_texts(12, n, [0, 1, n - 1], rng)]
+    rows = list(enumerate(texts))
+    s = sets_of(rows)
+    per_million = round(similarity * 1_000_000)
+    links = {i: sum(i != j and len(a & b) * 1_000_000 >= per_million * len(a | b) for j, b in enumerate(s)) for i, a in enumerate(s)}
+    got = jaccard_join.jaccard_join(stored(rows), similarity=similarity, limit=2).collect()
+    assert {r.doc_id: r.n_links for r in got} == links
