@@ -156,6 +156,17 @@ def test_redaction(edges, stored):
     assert out.filter("doc_id = 7").first().text == "word " * 30_000
 
 
+def test_redaction_of_what_a_mark_gives_a_vote(stored):
+    # the mark [PHONE] is a word of context that no candidate has in the unmarked texts
+    rows = [(k, f"Reach us under {k % 700 + 215}-{k % 90 + 231}-{k * 37 % 9000 + 1000} today.") for k in range(80)]
+    rows += [(100 + k, f"See part no {k + 100:03d}-011-1111 in the catalogue.") for k in range(80)]
+    rows.append((500, "Reach us under +44 20 7946 0958 / 415-555-2671 today."))
+    docs = stored(rows)
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert "phone" in spans[500] and "tel" in spans[500]
+    assert pii.redact(docs).filter("doc_id = 500").first().text == "Reach us under [PHONE] / [TEL] today."
+
+
 def test_estimates_agree_with_the_votes():
     patterns = [(1, 1, 0, 50), (1, 0, 0, 20), (0, 0, 0, 30), (-1, 0, -1, 50), (-1, -1, 0, 10)]
     p = pii.estimate(patterns)

@@ -18,6 +18,7 @@ recurses nor goes back: its work is linear in the text.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -218,6 +219,11 @@ def _accepted(score: Column) -> Column:
     return (score >= ACCEPT) & (sum((F.when(F.col(v) == 1, 1).otherwise(0) for v in LABELERS), F.lit(0)) >= 2)
 
 
+def _space() -> list[tuple]:
+    """Every (kind, votes) that votes can give, and some more; in the order of LABELERS."""
+    return [(kind, *said) for kind in CANDIDATES for said in itertools.product((1, 0, -1), (1, 0, -1), (1, 0, -1), (1, 0), (0, -1))]
+
+
 def _matches(docs: DataFrame, text_col: str, rows_of=_rows) -> DataFrame:
     """(uid, kind, i, size, context, match) of all matches, in one pass over the texts."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_of(text_col).alias("text"))
@@ -276,10 +282,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Kinds are taken in order, so of findings that overlap the first kind's is marked. A
     null text stays null. n_chars, where there is such a column, follows the new text.
+    The classifier learns from candidates of the unmarked texts, but says of every pattern
+    of votes whether it is accepted: a mark before a candidate can make for one of its own.
     """
     asked = _asked(_matches(docs, text_col, lambda text: _matches_of(text, "", "|".join(CANDIDATES.values()))))
     asked = cut(asked.groupBy("kind", *LABELERS).count())
-    chosen = {(r["kind"], *(r[v] for v in LABELERS)) for r in asked.filter(_accepted(_classifier(asked))).collect()}
+    space = docs.sparkSession.createDataFrame(_space(), ", ".join(["kind string", *(f"{v} int" for v in LABELERS)]))
+    chosen = {(r["kind"], *(r[v] for v in LABELERS)) for r in space.filter(_accepted(_classifier(asked))).collect()}
     text = F.col(text_col)
     out = docs
     for kind, pattern in BASE.items():
