@@ -194,6 +194,13 @@ def test_language_edges(edges, empty, stored, spark):
     assert langid.identify(unlabelled).first().lang_pred == "und"
 
 
+def test_no_language_learned_keeps_texts_with_a_letter(stored):
+    rows = [(1, "some words"), (2, "12 34"), (3, None), (4, "é"), (5, "")]
+    unlabelled = stored(rows, clash=False).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_known(unlabelled)
+    assert kept.columns == unlabelled.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
 def test_language_is_judged_by_text_alone(spark):
     from tilewright.llm.common import table
 

@@ -180,8 +180,12 @@ def _predicted(model: Hierarchy, text_col: str):
 def _known_only(model: Hierarchy, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, _ = _answers(model, batch.column(text_col))
-            yield batch.filter(pa.array(lang != UNKNOWN))
+            texts = batch.column(text_col)
+            if model.families:
+                known = _answers(model, texts)[0] != UNKNOWN
+            else:
+                known = [has_letter(t.as_py()) for t in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return run
 
@@ -210,6 +214,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows in which no language is found ("und"), all columns unchanged."""
+    """docs without the rows in which no language is found ("und"), all columns unchanged.
+
+    Where no language could be learned, the rows with a letter are kept.
+    """
     model = fit(docs.filter(~held_out(id_col)), text_col, lang_col, id_col)
     return docs.mapInArrow(trimmed(_known_only(model, text_col)), docs.schema)
