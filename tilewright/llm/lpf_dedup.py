@@ -17,7 +17,8 @@ by anchor, and their suffix array, cut off at LENGTH, gives the previous factors
 Large groups: copies within a task count as one before anything moves. Anchors that a sample
 of documents shows to be frequent, and those that turn out to have more than FORMS forms, are
 dealt string by string, by the hash of the whole string, which spreads them; the sample
-decides the way alone, not the result. Hashes that decide have 128 bits.
+decides the way alone, not the result. Hashes that decide are two of 64 bits: of an extent
+and its anchor, or of a string and its first GRAM bytes.
 """
 
 from __future__ import annotations
