@@ -67,6 +67,14 @@ def brute(rows):
     return links, root
 
 
+def linked_right(got, links, root):
+    """Classes, and links: those of each row, or where pivots found some of a class, its other rows."""
+    assert {i: got[i].class_id for i in got} == dict(enumerate(root))
+    size = Counter(root)
+    assert {i: got[i].n_links for i in got} == {i: links[i] if got[i].direct else size[root[i]] - 1 for i in got}
+    assert all(len({got[i].direct for i in got if root[i] == c}) == 1 for c in size)
+
+
 def corpus(seed=5, groups=12, copies=7):
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(400)]
@@ -90,9 +98,10 @@ def test_near_against_brute_force(stored, how):
     links, root = brute(rows)
     got = {r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), **how).collect()}
     assert len(got) == len(rows)
-    assert {i: got[i].n_links for i in got} == dict(enumerate(links))
-    assert {i: got[i].class_id for i in got} == dict(enumerate(root))
+    linked_right(got, links, root)
     assert {i for i in got if got[i].kept} == set(root)
+    if "limit" not in how:
+        assert all(r.direct for r in got.values())
 
 
 def test_a_large_group_of_near_copies(stored):
@@ -103,9 +112,72 @@ def test_a_large_group_of_near_copies(stored):
         t = list(text)
         t[rng.randrange(120)] = f"x{k}"
         rows.append((k, " ".join(t)))
-    got = jaccard_join.jaccard_join(stored(rows), limit=16, tile=40).collect()
-    links, root = brute(rows)
-    assert [r.n_links for r in sorted(got, key=lambda r: r.doc_id)] == links and {r.class_id for r in got} == set(root)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), limit=16, tile=40).collect()}
+    linked_right(got, *brute(rows))
+    assert not any(r.direct for r in got.values())
+
+
+def masks(rows):
+    """Sets as rows of zeros and ones, and their sizes."""
+    number = {}
+    m = [[number.setdefault(x, len(number)) for x in s] for s in sets_of(rows)]
+    out = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(m):
+        out[i, x] = 1
+    return out, out.sum(1)
+
+
+def brute_fast(rows):
+    m, size = masks(rows)
+    common = m @ m.T
+    linked = 10 * common >= 8 * (size[:, None] + size[None] - common)
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(rows))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None], len(rows)).min(1))
+        if (new == label).all():
+            return linked.sum(1).tolist(), label.tolist()
+        label = new
+
+
+def test_pivots_lose_no_link_of_5000_near_copies(stored):
+    """Near copies of one text, some of them far from each other, a chain away from it, a second group that one text bridges, and a passage in all."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(14)]
+    texts = []
+    for name, n in (("a", 4000), ("b", 1000)):
+        base = [f"{name}{k}" for k in range(70)]
+        for _ in range(n):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 2, 3])):
+                t[rng.randrange(70)] = f"x{rng.randrange(10**6)}"
+            texts.append(passage + t)
+    t = list(texts[0])
+    for k in range(0, 60, 5):  # each step is linked to the last
+        t = t[:14] + [f"y{k + i}" if k <= i < k + 5 else w for i, w in enumerate(t[14:])]
+        texts.append(t)
+    texts += [passage + rng.choices([f"z{k}" for k in range(5000)], k=rng.randint(20, 90)) for _ in range(1500)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows, parts=6)).collect()}
+    links, root = brute_fast(rows)
+    linked_right(got, links, root)
+    assert not all(r.direct for r in got.values()) and any(r.direct and r.n_links for r in got.values())
+
+
+def test_recall_through_splits(stored):
+    """Pairs at the threshold in texts that share a passage, so that they meet only in leaves of split buckets."""
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(34)]
+    rows = []
+    for k in range(600):
+        own = [f"w{k}.{i}" for i in range(90)]
+        for other in (own, [*own[:-12], *[f"v{k}.{i}" for i in range(12)]]):  # 108 of 132 runs in common
+            rows.append((len(rows), " ".join(passage + other)))
+    got = jaccard_join.jaccard_join(stored(rows), limit=8).collect()
+    links, root = brute_fast(rows)
+    assert sum(links) == 1200 and sum(r.class_id == root[r.doc_id] for r in got) >= 0.99 * len(rows)
+    assert all(r.n_links == links[r.doc_id] for r in got if r.direct and r.class_id == root[r.doc_id] and r.n_links)
 
 
 def test_near_edges_and_empty(edges, empty):
@@ -163,8 +235,7 @@ def test_short_texts_around_a_frequent_phrase(stored, depth):
     # the hottest bucket holds about 100 sets or more; a lower limit makes for a deeper split
     limit = {3: 5, 4: 2, 6: 1}[depth]
     got = {r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), limit=limit).collect()}
-    assert {i: got[i].n_links for i in got} == dict(enumerate(links))
-    assert {i: got[i].class_id for i in got} == dict(enumerate(root))
+    linked_right(got, links, root)
 
 
 @pytest.mark.parametrize("size", [12, 13, 16, 24])
@@ -194,4 +265,5 @@ def test_short_texts_at_other_similarities(stored, similarity):
     per_million = round(similarity * 1_000_000)
     links = {i: sum(i != j and len(a & b) * 1_000_000 >= per_million * len(a | b) for j, b in enumerate(s)) for i, a in enumerate(s)}
     got = jaccard_join.jaccard_join(stored(rows), similarity=similarity, limit=2).collect()
-    assert {r.doc_id: r.n_links for r in got} == links
+    size = Counter(r.class_id for r in got)
+    assert {r.doc_id: r.n_links for r in got} == {r.doc_id: links[r.doc_id] if r.direct else size[r.class_id] - 1 for r in got}

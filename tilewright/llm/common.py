@@ -9,6 +9,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(32))
 
 
+def portions(of, rows: int, size: int, text: int | str | None = None) -> Iterator:
+    """Consecutive parts of an array of texts, or of batches with a column of them: at most rows, and about size bytes of text."""
+    for whole in [of] if text is None else of:
+        texts = whole if text is None else whole.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = max(at + 1, min(stop, at + rows))
+            yield whole.slice(at, stop - at)
+            at = stop
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal keys, whatever batches they came in."""
     held: list[pa.RecordBatch] = []

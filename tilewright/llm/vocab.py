@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import portions
+
 #: Pieces that a worker remembers before it starts afresh; bounds its memory.
 REMEMBER = 600_000
 #: Longer pieces are encoded but not remembered.
@@ -50,17 +52,6 @@ def _load(file: str):
     return t
 
 
-def _slices(texts: pa.Array):
-    """Consecutive parts of bounded size."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER_BYTES, "right"))
-        stop = max(at + 1, min(stop, at + TOGETHER))
-        yield texts.slice(at, stop - at)
-        at = stop
-
-
 class PieceEncoder:
     """Texts -> packed little-endian unsigned 32-bit ids, equal to the library's on whole texts."""
 
@@ -144,7 +135,7 @@ class PieceEncoder:
 
     def encode_all(self, texts: pa.Array):
         """Packed ids of each text, one after the other."""
-        for part in _slices(texts.cast(pa.string())):
+        for part in portions(texts.cast(pa.string()), TOGETHER, TOGETHER_BYTES):
             yield from self._encode_slice(part)
             pa.default_memory_pool().release_unused()
 
