@@ -1,10 +1,11 @@
 """Exact byte-pair encoding by backtracking, and decoding by an offset table.
 
-One Aho-Corasick pass finds every token that starts at each place of a word. The encoder
-takes the longest, checks it against its left neighbour in the table of compatible pairs
+One Aho-Corasick pass finds the longest token that starts at each place of a word. The
+encoder takes it, checks it against its left neighbour in the table of compatible pairs
 (two tokens may stand side by side when merging their joined text gives just the two), and
-falls back to the next shorter one or to the token before. A place that has failed is
-never tried again, so the work is linear in the word. The result equals merging by rank.
+falls back to the next shorter one, which a table names for each token, or to the token
+before. A place that has failed is never tried again, so the work is linear in the word,
+and so is the memory: some ten bytes a letter. The result equals merging by rank.
 
 Decoding joins the tokens' strings, which lie in one buffer with an offset each.
 
@@ -18,14 +19,13 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, trimmed
+from .common import remembered, text_of, trimmed
 from .vocab import REMEMBER, WordEncoder, path
 
 #: Stands for the end of a word in the automaton; never part of a byte-level string.
@@ -50,8 +50,13 @@ class Backtracker:
         self.automaton = ahocorasick.Automaton()
         for s, i in self.ids.items():
             if s in reached:
-                self.automaton.add_word(s, (len(s), i))
+                self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        #: by token: its length, and the longest other token that it starts with (-1: none)
+        self.size, self.shorter = (array("i", [-1]) * (max(self.ids.values()) + 1) for _ in range(2))
+        for s, i in self.ids.items():
+            self.size[i] = len(s)
+            self.shorter[i] = next((self.ids[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in reached and s[:n] in self.ids), -1)
         self.table: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -76,24 +81,23 @@ class Backtracker:
             found = self.table[a, b] = self.merged(self.strings[a] + self.strings[b]) == [self.strings[a], self.strings[b]]
         return found
 
-    def encode(self, word: str) -> list[int]:
+    def encode(self, word: str) -> array:
         """Ids of one pre-token, given as a byte-level string."""
         text = word + END if self.suffix else word
-        starts: list[list] = [[] for _ in range(len(text))]
-        for stop, (size, i) in self.automaton.iter(text):
-            starts[stop - size + 1].append((stop + 1, i))
-        out: list[int] = []
-        places, tries = [0], [len(starts[0]) - 1]
+        size, shorter, longest = self.size, self.shorter, array("i", [-1]) * (len(text) + 1)
+        for stop, i in self.automaton.iter(text):  # by their ends, so the longest of a place comes last
+            longest[stop - size[i] + 1] = i
+        out = array("I")
+        places, tries = array("q", [0]), array("i", [longest[0]])
         dead = bytearray(len(text) + 1)
         while places[-1] < len(text):
-            at, k = places[-1], tries[-1]
-            # tokens of one place come in the order of their ends, so the last is the longest
-            while k >= 0:
-                stop, i = starts[at][k]
+            at, i = places[-1], tries[-1]
+            while i >= 0:
+                stop = at + size[i]
                 if not dead[stop] and (not out or self.compatible(out[-1], i)):
                     break
-                k -= 1
-            if k < 0:
+                i = shorter[i]
+            if i < 0:
                 dead[at] = 1
                 places.pop()
                 tries.pop()
@@ -101,10 +105,10 @@ class Backtracker:
                     raise ValueError(f"the vocabulary has no encoding of {word!r}")
                 out.pop()
                 continue
-            tries[-1] = k - 1
+            tries[-1] = shorter[i]
             out.append(i)
             places.append(stop)
-            tries.append(len(starts[stop]) - 1 if stop < len(text) else -1)
+            tries.append(longest[stop])
         return out
 
 
@@ -150,26 +154,26 @@ class WordBpe(WordEncoder):
         cut = self.cut(self.normalize(" ".join(pieces)))
         if len(cut) != len(pieces):  # a letter that does not stay one pre-token
             return None
-        return [array("I", self.merger.encode(p)).tobytes() for p, _ in cut]
+        return [self.merger.encode(p).tobytes() for p, _ in cut]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            ids: list[int] = []
+            ids = array("I")
             for k, part in enumerate(self.split_special(text)):
                 if k % 2:
                     ids.append(self.special[part])
                 elif part:
                     for piece, _ in self.cut(self.normalize(part)):
                         ids += self.merger.encode(piece)
-            out.append(array("I", ids).tobytes())
+            out.append(ids.tobytes())
         return out
 
     def decode(self, ids: bytes) -> bytes:
         return self.table.decode(np.frombuffer(ids, "<u4"))
 
 
-@lru_cache(maxsize=2)
+@remembered
 def word_bpe(file: str) -> WordBpe:
     """One for each Python worker."""
     return WordBpe(file)
@@ -198,4 +202,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(trimmed(_round_trip(tokenizer or path("word_bpe_49k.json"))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(trimmed(_round_trip(tokenizer or path("word_bpe_49k.json")), "word_bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
