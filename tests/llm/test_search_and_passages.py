@@ -30,6 +30,25 @@ def test_top_k_against_brute_force(stored, how):
     assert got == sorted(want)
 
 
+def test_top_k_holds_one_chunk(stored, monkeypatch):
+    rows = [(k, [float(k % 7), 1.0]) for k in range(40)]
+    df = stored(rows, "vec_id long, embedding array<double>", clash=False)
+    whole = sorted(map(tuple, topk.exact_top_k(df, F.col("id") % 2 == 0).collect()))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 3 * 2 * 8)  # three queries a chunk
+    found = topk.exact_top_k(df, F.col("id") % 2 == 0)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "Union" not in plan  # chunks are written; nothing of them is left to run
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) == 100
+
+
+def test_top_k_of_huge_components(stored):
+    rows = [(0, [1e16, 1.0]), (1, [1e15, 1.0]), (2, [-1e16, 0.0]), (3, [1e300, 0.0]), (4, [2.0, 3.0])]
+    df = stored(rows, "vec_id long, embedding array<double>", clash=False)
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("id") == 0).collect())
+    most = 2**63 - 1
+    assert got == [(1, 1, most), (2, 3, most), (3, 4, 256 * 10**16 * 512 + 256 * 768 if 256 * 10**16 * 512 < most else most), (4, 2, -most)]
+
+
 def test_top_k_empty(stored):
     df = stored([(7, [1.0])], "vec_id long, embedding array<double>", clash=False)
     assert topk.exact_top_k(df, F.col("id") % 50 == 0).count() == 0
@@ -107,14 +126,35 @@ def test_suffix_order_and_previous_factors():
     text = data.tobytes()
     for length in (1, 5, 8, 9, 16, 20):
         at = np.arange(400 - length + 1)
-        order, rank = lpf_dedup.truncated_suffix_order(data, at, length)
+        order, ranks = lpf_dedup.truncated_suffix_order(data, at, length)
         parts = [text[p : p + length] for p in at]
         assert [parts[p] for p in order] == sorted(parts)
         position = rng.permutation(at.size)
-        first = {}
-        for p in at:
-            first[parts[p]] = min(first.get(parts[p], 10**9), position[p])
-        assert lpf_dedup.has_previous(order, rank, position).tolist() == [first[parts[p]] < position[p] for p in at]
+        got = lpf_dedup.previous_factors(order, ranks, at, position)
+        common = lambda p, q: next((k for k in range(length) if parts[p][k] != parts[q][k]), length)
+        want = np.array([max((common(p, q) for q in at if position[q] < position[p]), default=0) for p in at])
+        assert ((got >= length) == (want >= length)).all()
+        assert (got <= want).all() and (got >= want - 7).all()  # shorter ones to within the eight bytes of a first rank
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 400):
+        for p in (rng.permutation(n), np.arange(n), np.arange(n)[::-1]):
+            want = [next((j for j in range(i - 1, -1, -1) if p[j] < p[i]), -1) for i in range(n)]
+            assert lpf_dedup.previous_smaller(p).tolist() == want
+
+
+def test_extents_are_named_by_two_hashes(monkeypatch):
+    data = np.frombuffer(bytes(range(97, 117)) * 10 + b"x" + bytes(range(97, 117)) * 10, np.uint8)
+    s = lpf_dedup.Slice(data, np.array([0]), np.array([data.size]))
+    assert (s.form != s.twin).all()
+    _, a, b = s.strings(np.arange(s.first.size))
+    strings = {data[k : k + 100].tobytes() for k in range(data.size - 99)}
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(strings)
+    # a collision of the first hash alone does not make two strings one
+    records = tuple(np.array(x, t) for x, t in zip(([1, 1], [2, 2], [3, 4], [0, 1], [0, 0], [1, 1]), lpf_dedup._TYPES))
+    assert lpf_dedup._firsts(records)[1].all()
 
 
 def test_query(spark):

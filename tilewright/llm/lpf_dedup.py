@@ -8,17 +8,18 @@ previous factor are the nearest entries above and below with a smaller position.
 A suffix array of a whole corpus fits no task, so strings are first dealt by an anchor: of
 the runs of GRAM bytes in a string, the one with the lowest hash. Equal strings have equal
 anchors. Neighbouring strings share an anchor; their union, an extent, is a record of some
-30 bytes, one for about 40 bytes of text, sent in packed columns. Where records of an anchor
-agree in a hash of the whole extent, all strings of all but the first are repeated. An
-anchor that occurs in a single extent has nothing to add. What is left are the extents of anchors that
+40 bytes, one for about 40 bytes of text, sent in packed columns. An extent is named by two
+independent 64-bit hashes of all its bytes, under its anchor. In the order of names, extents
+with a previous smaller position of the same name have only repeated strings. An anchor that
+occurs in a single extent has nothing to add. What is left are the extents of anchors that
 occur in several forms, at the edges of common passages: their bytes are brought together
-by anchor, and their suffix array, cut off at LENGTH, gives the previous factors.
+by anchor, and the previous factors come from their suffix array, cut off at LENGTH.
 
 Large groups: copies within a task count as one before anything moves. Anchors that a sample
 of documents shows to be frequent, and those that turn out to have more than FORMS forms, are
-dealt string by string, by the hash of the whole string, which spreads them; the sample
-decides the way alone, not the result. Hashes that decide are two of 64 bits: of an extent
-and its anchor, or of a string and its first GRAM bytes.
+dealt string by string, by a name of 128 bits of the whole string, which spreads them; the
+sample decides the way alone, not the result. So whatever bytes do not decide, names of 128
+bits do.
 """
 
 from __future__ import annotations
@@ -35,29 +36,31 @@ from .common import by_group, cut, mix, spread, text_of, trimmed
 
 LENGTH = 100
 GRAM = 24
-#: Documents that are looked at for frequent anchors, and in how many of them such an anchor is.
-SAMPLE, FREQUENT = 4096, 12
+#: Documents that are looked at for frequent anchors, in how many of them such an anchor is, and how many anchors at most go that way.
+SAMPLE, FREQUENT, ANCHORS = 4096, 12, 1 << 20
 FORMS = 2000
 #: Bytes of text whose records make a bucket, and that are hashed at once; records that a task holds.
 BUCKET_BYTES, SLICE, HELD = 16 << 20, 1 << 20, 1 << 20
 
 _U = np.uint64
 _ODD = np.random.default_rng(LENGTH).integers(1, 1 << 63, 8).astype(_U) * _U(2) + _U(1)
-_BYTE = np.random.default_rng(GRAM).integers(1, 1 << 63, 256).astype(_U)
+#: Numbers of the byte values, for each of the two hashes.
+_BYTE = np.random.default_rng(GRAM).integers(1, 1 << 63, (2, 256)).astype(_U)
 _LOW = _U((1 << 24) - 1)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of one of two odd numbers and of its inverse modulo 2**64."""
+    if which not in _POWERS or _POWERS[which][0].size < n:
         with np.errstate(over="ignore"):
-            base = int(_ODD[7])
-            for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-                x = np.full(n, b, _U)
+            both = []
+            for base in (int(_ODD[7 - which]), pow(int(_ODD[7 - which]), -1, 1 << 64)):
+                x = np.full(n, base, _U)
                 x[0] = 1
-                _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+                both.append(np.multiply.accumulate(x))
+            _POWERS[which] = tuple(both)
+    return _POWERS[which][0][:n], _POWERS[which][1][:n]
 
 
 class Slice:
@@ -71,14 +74,16 @@ class Slice:
         np.add.at(inside, starts[whole], 1)
         np.add.at(inside, stops[whole] - length + 1, -1)
         at = np.flatnonzero(np.cumsum(inside[:-1]))
-        self.first = self.count = self.anchor = self.form = np.zeros(0, _U)
+        self.first = self.count = self.anchor = self.form = self.twin = np.zeros(0, _U)
         if not at.size:
             return
         with np.errstate(over="ignore"):
-            up, down = _powers(data.size + 1)
-            self.down = down
-            self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * up[: data.size])])
-            self.grams = mix((self.sums[gram:] - self.sums[:-gram]) * down[: data.size - gram + 1])
+            self.down, self.sums = [], []
+            for which in (0, 1):
+                up, down = _powers(data.size + 1, which)
+                self.down.append(down)
+                self.sums.append(np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[which][data] * up[: data.size])]))
+            self.grams = mix((self.sums[0][gram:] - self.sums[0][:-gram]) * self.down[0][: data.size - gram + 1])
             width = length - gram + 1
             key = (self.grams & ~_LOW) | np.arange(self.grams.size, dtype=_U)
             blocks = -(-key.size // width) * width
@@ -92,17 +97,17 @@ class Slice:
             place = place[new]
             self.anchor = self.grams[place]
             shape = (place - self.first).astype(_U) * _ODD[0] + self.count.astype(_U) * _ODD[1]
-            self.form = mix(self._hash(self.first, self.count + (length - 1)) + shape)
+            self.form, self.twin = (mix(self._hash(self.first, self.count + (length - 1), which) + shape) for which in (0, 1))
 
-    def _hash(self, at: np.ndarray, size) -> np.ndarray:
-        return (self.sums[at + size] - self.sums[at]) * self.down[at]
+    def _hash(self, at: np.ndarray, size, which: int) -> np.ndarray:
+        return (self.sums[which][at + size] - self.sums[which][at]) * self.down[which][at]
 
     def strings(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, and two hashes, of every string in these extents."""
+        """Place, and the two hashes, of every string in these extents."""
         n = self.count[rows]
         at = np.repeat(self.first[rows] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         with np.errstate(over="ignore"):
-            return at, mix(self._hash(at, self.length) + _ODD[2]), self.grams[at]
+            return at, *(mix(self._hash(at, self.length, which) + _ODD[2]) for which in (0, 1))
 
 
 def slices(texts: pa.Array, length: int = LENGTH, size: int = SLICE):
@@ -124,8 +129,8 @@ def slices(texts: pa.Array, length: int = LENGTH, size: int = SLICE):
         i = j
 
 
-# records: packed columns (anchor, form, doc, first, count)
-_TYPES = (_U, _U, np.int64, np.int32, np.int16)
+# records: packed columns (anchor, form, twin, doc, first, count)
+_TYPES = (_U, _U, _U, np.int64, np.int32, np.int16)
 
 
 def _joined(parts: list[tuple]) -> tuple:
@@ -133,14 +138,14 @@ def _joined(parts: list[tuple]) -> tuple:
 
 
 def _firsts(records: tuple) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """Records by (anchor, form, doc, first); which of them are the first of their form, and of their anchor."""
-    anchor, form, doc, first, _ = records
-    order = np.lexsort((first, doc, form, anchor))
+    """Records in the order of anchors and names; which of them have no previous one of their name, and which are the first of their anchor."""
+    anchor, form, twin, doc, first, _ = records
+    order = np.lexsort((first, doc, twin, form, anchor))
     records = tuple(x[order] for x in records)
-    anchor, form = records[:2]
-    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: anchor.size]
-    new_form = new_anchor | np.concatenate([[True], form[1:] != form[:-1]])[: anchor.size]
-    return records, new_form, new_anchor
+    anchor, form, twin = records[:3]
+    new = lambda x: np.concatenate([[True], x[1:] != x[:-1]])[: x.size]
+    new_anchor = new(anchor)
+    return records, new_anchor | new(form) | new(twin), new_anchor
 
 
 def _take(records: tuple, rows) -> tuple:
@@ -184,12 +189,13 @@ def _anchored(length: int, gram: int, buckets: int, often: np.ndarray, held_reco
                     continue
                 hot = np.isin(s.anchor, often)
                 calm = np.flatnonzero(~hot)
-                for first, count, anchor, form in (
-                    (s.first[calm], s.count[calm], s.anchor[calm], s.form[calm]),
-                    *([(at, np.ones(at.size, np.int16), a, f) for at, a, f in [s.strings(np.flatnonzero(hot))]] if hot.any() else []),
+                for first, count, anchor, form, twin in (
+                    (s.first[calm], s.count[calm], s.anchor[calm], s.form[calm], s.twin[calm]),
+                    # a string has no anchor: its first hash deals it
+                    *([(at, np.ones(at.size, np.int16), a, a, b) for at, a, b in [s.strings(np.flatnonzero(hot))]] if hot.any() else []),
                 ):
                     owner = np.searchsorted(starts, first, "right") - 1
-                    held.append((anchor, form, doc[numbers[owner]], (first - starts[owner] + offset).astype(np.int32), count.astype(np.int16)))
+                    held.append((anchor, form, twin, doc[numbers[owner]], (first - starts[owner] + offset).astype(np.int32), count.astype(np.int16)))
                     size += first.size
                 if size >= held_records:
                     yield from sent()
@@ -209,7 +215,7 @@ _FOUND = "doc long, first int, count int, anchor long, forms int"
 
 
 def _found(records: tuple, forms: np.ndarray) -> pa.RecordBatch:
-    anchor, _, doc, first, count = records
+    anchor, _, _, doc, first, count = records
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(forms.astype(np.int32))], ["doc", "first", "count", "anchor", "forms"])
 
 
@@ -267,8 +273,8 @@ def _brought(length: int, gram: int, buckets: int, most_forms: int):
     return run
 
 
-def truncated_suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places at in the order of the length bytes there, and the rank of each (equal strings, equal ranks).
+def truncated_suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The places at in the order of the length bytes there, and (size, ranks by that many bytes) of all places, the last for length.
 
     Ranks of 8 bytes are doubled up to the largest power of two times 8 within length and
     overlapped once for the rest. Every place needs length bytes after it.
@@ -279,33 +285,53 @@ def truncated_suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tup
     if size < 8:
         words >>= _U(64 - 8 * size)
     _, rank = np.unique(words, return_inverse=True)
+    ranks = [(size, rank)]
     while size < length:
         step = min(size, length - size)
         other = np.zeros(rank.size, np.int64)
         other[: rank.size - step] = rank[step:]
         _, rank = np.unique(rank.astype(np.int64) * (int(rank.max()) + 1) + other, return_inverse=True)
         size += step
-    rank = rank[at]
-    return np.argsort(rank, kind="stable"), rank
+        ranks.append((size, rank))
+    return np.argsort(rank[at], kind="stable"), ranks
 
 
-def has_previous(order: np.ndarray, rank: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor at each place is as long as the ranks compare.
+def previous_smaller(p: np.ndarray) -> np.ndarray:
+    """By entry, the nearest one before it with a smaller number; -1 where there is none. Numbers differ.
 
-    order: places in suffix order. Within a stretch of equal ranks the common prefix is that
-    long, so the nearest smaller positions before and after a place in suffix order decide;
-    one of them lies in the stretch exactly if the smallest position before or after does.
+    Every entry points to the one before it and goes on along the pointers of those that
+    are larger; what lies between an entry and where it points is always larger.
     """
-    r, p = rank[order], position[order]
-    n = p.size
-    _, p = np.unique(p, return_inverse=True)
-    stretch = np.cumsum(np.concatenate([[0], r[1:] != r[:-1]]))
-    lift = np.int64(n + 1)
-    # running minima that start anew in each stretch: later stretches lie lower (or higher) as a whole
-    before = np.minimum.accumulate(p - stretch * lift) + stretch * lift
-    after = (np.minimum.accumulate((p + stretch * lift)[::-1])[::-1]) - stretch * lift
-    out = np.zeros(n, bool)
-    out[order] = (before < p) | (after < p)
+    to = np.arange(p.size) - 1
+    open_ = np.flatnonzero(to >= 0)
+    while open_.size:
+        open_ = open_[p[to[open_]] > p[open_]]
+        to[open_] = to[to[open_]]
+        open_ = open_[to[open_] >= 0]
+    return to
+
+
+def previous_factors(order: np.ndarray, ranks: list[tuple[int, np.ndarray]], at: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each place, cut off at the last size of ranks.
+
+    order, ranks: the suffix order; at: the places; position: which comes earlier. The
+    longest previous factor is shared with the nearest entry above or below in suffix order
+    whose position is smaller.
+    """
+    n, length = order.size, ranks[-1][0]
+    p = position[order]
+    above, below = previous_smaller(p), n - 1 - previous_smaller(p[::-1])[::-1]
+    longest = np.zeros(n, np.int64)
+    for near, there in ((above, above >= 0), (below, below < n)):
+        mine, other = at[order[there]], at[order[near[there]]]
+        common = np.zeros(mine.size, np.int64)
+        for size, rank in reversed(ranks):
+            fits = common + size <= length
+            x, y = mine[fits] + common[fits], other[fits] + common[fits]
+            common[fits] += np.where(rank[x] == rank[y], size, 0)
+        longest[there] = np.maximum(longest[there], common)
+    out = np.empty(n, np.int64)
+    out[order] = longest
     return out
 
 
@@ -332,11 +358,11 @@ def _repeated(length: int):
             at = np.repeat(stops - size[some] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             owner = np.repeat(some, n)
             place = first[owner] + (at - np.repeat(stops - size[some], n))
-            order, rank = truncated_suffix_order(data, at, length)
+            order, ranks = truncated_suffix_order(data, at, length)
             # positions in the order of documents and, within one, of places
             position = np.empty(at.size, np.int64)
             position[np.lexsort((place, doc[owner]))] = np.arange(at.size)
-            hit = np.flatnonzero(has_previous(order, rank, position))
+            hit = np.flatnonzero(previous_factors(order, ranks, at, position) >= length)
             if hit.size:
                 o, p = owner[hit], place[hit]
                 new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)]))
@@ -394,9 +420,9 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
 
 
-def _frequent(rows: DataFrame, length: int, gram: int, sample: int, frequent: int) -> np.ndarray:
-    """Anchors that are in at least frequent of about sample documents."""
-    share = min(1.0, sample / max(1, rows.count()))
+def _frequent(rows: DataFrame, count: int, length: int, gram: int, sample: int, frequent: int) -> np.ndarray:
+    """Anchors that are in at least frequent of about sample documents; the most frequent ANCHORS of them."""
+    share = min(1.0, sample / max(1, count))
     some = rows.filter(F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +435,7 @@ def _frequent(rows: DataFrame, length: int, gram: int, sample: int, frequent: in
                 yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(n, pa.int64())], ["anchor", "n"])
 
     found = some.mapInArrow(trimmed(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent)
-    return np.array([r["anchor"] for r in found.select("anchor").collect()], np.int64).view(_U)
+    return found.orderBy(F.desc("n"), "anchor").limit(ANCHORS).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(_U)
 
 
 def remove_repeats(
@@ -435,8 +461,10 @@ def remove_repeats(
         raise ValueError("8 <= gram < length < 16384 is needed")
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc"]
-    unique = rows.filter("doc is null").isEmpty() and rows.groupBy("doc").count().filter("count > 1").isEmpty()
-    if unique and kind in ("bigint", "int", "smallint", "tinyint"):
+    by_id = rows.groupBy("doc").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    said = by_id.agg(F.max("rows"), F.count_if(F.col("doc").isNull()), F.sum("rows"), F.sum("bytes")).first()
+    most, nulls, count, total = (x or 0 for x in said)
+    if most <= 1 and not nulls and kind in ("bigint", "int", "smallint", "tinyint"):
         # the filter drops nothing; it is there in both joins below, so that they share one exchange of the texts
         rows = rows.select(F.col("doc").cast("long").alias("doc"), "text").filter("doc is not null")
     else:  # number the rows in their order
@@ -445,10 +473,9 @@ def remove_repeats(
         ranks = cut(ranks.select("uid", F.monotonically_increasing_id().alias("doc")))
         rows = placed.join(ranks, "uid").select("doc", "text", "id")
     plain = rows.select("doc", "text")
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = spread(docs, 8)
     buckets = max(8 * parts, -(-total // BUCKET_BYTES))
-    often = _frequent(plain, length, gram, sample, frequent)
+    often = _frequent(plain, count, length, gram, sample, frequent)
     records = plain.mapInArrow(trimmed(_anchored(length, gram, buckets, often, held)), "bucket long, sure boolean, records binary")
     records = _dealt(records, parts)
     found = cut(records.mapInArrow(trimmed(_compared), _FOUND))
