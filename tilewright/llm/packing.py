@@ -7,8 +7,10 @@ which is the lowest set bit of all.
 
 Texts are encoded where they are read; only a small row a piece moves. Full pieces are
 sequences of their own. The others are dealt to packers of a bounded number of rows, by a
-hash of the id, and offered longest first. A lost executor repeats its packer with the same rows
-in the same order, so sequence ids do not change.
+hash of the id, and arrive there in the order of another hash. A packer looks WINDOW pieces
+ahead and places these longest first: long ones open bins, short ones fill them up. That
+many bins are not kept open, so the fullest of earlier windows close. A lost executor
+repeats its packer with the same rows in the same order, so sequence ids do not change.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,9 +29,9 @@ from .common import cut, text_of, trimmed
 from .vocab import byte_encoder, path
 
 CAPACITY = 1024
-#: Longest-first order opens a bin for most long pieces before short ones fill them, so a
-#: packer may keep about as many bins open as it has rows; fewer cost up to a quarter more.
-OPEN_BINS = 32768
+#: About half of the pieces of a window open a bin before short ones fill them, so a packer
+#: keeps half as many bins open as it looks ahead; half of that cost a tenth more sequences.
+WINDOW, OPEN_BINS = 4096, 2048
 PACKER_ROWS = 32768
 
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "place"]
@@ -98,13 +101,28 @@ def _batch(columns, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "piece" else pa.int64()) for x, n in zip(columns, names, strict=True)], names)
 
 
-def _packed(capacity: int, open_bins: int):
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of window rows, the last one of fewer, whatever batches they came in."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= window:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield rows.slice(0, window).to_batches()[0]
+            held = rows.slice(window).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _packed(capacity: int, open_bins: int, window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            placed = [fit.place(n) for n in batch.column("length").to_pylist()]
+        for batch in _windows(batches, window):
+            lengths = batch.column("length").to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            placed = [fit.place(n) for n in lengths[order].tolist()]
             found = [first + number for number, _ in placed], [offset for _, offset in placed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(order)).columns, *map(pa.array, found)], [*batch.schema.names, "sequence_id", "offset"])
 
     return pack
 
@@ -118,6 +136,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     packer_rows: int = PACKER_ROWS,
+    window: int = WINDOW,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -127,12 +146,12 @@ def pack_documents(
     table gives an empty result. Sequence ids of full pieces are below zero.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    pieces = cut(rows.mapInArrow(trimmed(_pieces(tokenizer or path("byte_bpe_50k.json"), end_id, capacity)), PIECE_SCHEMA))
+    pieces = cut(rows.mapInArrow(trimmed(_pieces(tokenizer or path("byte_bpe_50k.json"), end_id, capacity), "byte_encoder"), PIECE_SCHEMA))
     full = pieces.filter(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (-F.col("place") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     short = pieces.filter(F.col("length") < capacity)
     packers = max(1, -(-short.count() // packer_rows))
-    dealt = short.repartition(packers, F.xxhash64("doc_id", "place")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "place")
-    packed = dealt.mapInArrow(trimmed(_packed(capacity, open_bins)), f"{PIECE_SCHEMA}, sequence_id long, offset long").drop("place")
+    dealt = short.repartition(packers, F.xxhash64("doc_id", "place")).sortWithinPartitions(F.xxhash64("place", "doc_id"), "doc_id", "place")
+    packed = dealt.mapInArrow(trimmed(_packed(capacity, open_bins, window)), f"{PIECE_SCHEMA}, sequence_id long, offset long").drop("place")
     return full.unionByName(packed)
