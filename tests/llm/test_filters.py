@@ -201,6 +201,106 @@ def test_no_language_learned_keeps_texts_with_a_letter(stored):
     assert kept.columns == unlabelled.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
 
 
+def labelled(stored, rows):
+    return stored([(i, t) for i, t, _ in rows], clash=False).join(stored([(t, lang) for _, t, lang in rows], "text string, lang string", clash=False).distinct(), "text", "left")
+
+
+WORDS = {"en": "the of and to in is that for it was".split(), "fr": "le de et la les des en un une est".split(), "de": "der die und das von zu mit den ist ein".split()}
+
+
+def prose(lang, seed, n=20):
+    return " ".join(random.Random(f"{lang}{seed}").choices(WORDS[lang], k=n))
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 10])
+def test_languages_of_rows_without_ids_of_their_own(stored, ids):
+    rows = [(k, prose("en", k), "en") for k in range(400)] + [(ids(k), prose("fr", k), "fr") for k in range(400)]
+    got = langid.identify(labelled(stored, rows)).collect()
+    assert sum(r.lang_pred == "fr" for r in got) == 400 and sum(r.lang_pred == "en" for r in got) == 400
+
+
+def test_the_sample_is_exact_and_bounded(stored, monkeypatch):
+    drawn = {}
+    monkeypatch.setattr(langid.Hierarchy, "__init__", lambda self, x, langs: drawn.update({s: langs.count(s) for s in langs}))
+    rows = [(k, prose("en", k), "en") for k in range(900)] + [(k, prose("fr", k), "fr") for k in range(30)] + [(5, prose("de", 0), "de")] * 700
+    rows += [(k, "17 4", "de") for k in range(500)]  # no letter: nothing to learn
+    df = stored([(i, t) for i, t, _ in rows], clash=False).withColumn("lang", F.when(F.col("text").rlike("der|die|das|[0-9]|zu|und"), "de").when(F.col("text").rlike("les|des|une|est"), "fr").otherwise("en"))
+    langid.fit(df, sample=100)
+    assert drawn == {"en": 100, "fr": 30, "de": 1}
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    drawn.clear()
+    langid.fit(df, sample=100)
+    assert drawn == {"en": 100, "de": 1}  # most documents
+
+
+def plain_features(text):
+    folded = "".join(chr(b) if b >= 128 or 97 <= b <= 122 else " " for b in text.lower().encode())
+    b = [ord(c) for c in " " + " ".join(x for x in folded.split(" ") if x) + " "]
+    counts = [0] * langid.FEATURES
+    for k in range(len(b) - 1):
+        counts[(((b[k] << 8 | b[k + 1]) * 2654435761) & 0xFFFFFFFF) >> 20] += 1
+    for k in range(len(b) - 2):
+        counts[(((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2246822519 + 374761393) & 0xFFFFFFFF) >> 20] += 1
+    total = max(1, sum(counts))
+    return np.sqrt(np.array(counts) / total)
+
+
+def plain_machine(x, y, cost=50.0, steps=200):
+    """The same steps in double precision, a row at a time."""
+    w, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    share = {s: 0.5 / max(1, sum(t == s for t in y)) for s in (1, -1)}
+    for t in range(steps):
+        slope = np.zeros_like(v)
+        for row, s in zip(x, y):
+            slope += share[s] * s * max(0.0, 1 - s * (row @ v[:-1] + v[-1])) * np.append(row, 1.0)
+        step = v - (v - 2 * cost * slope) / (1 + 4 * cost)
+        v, w = step + t / (t + 3) * (step - w), step
+    return w
+
+
+def test_language_against_brute_force(stored):
+    rows = [(k, prose(lang, k, 6), lang) for lang in ("en", "fr", "de") for k in range(12)] + [(90, None, None), (91, "12", None), (92, "the le und", None)]
+    df = stored([(i, t) for i, t, _ in rows], clash=False).withColumn("lang", F.lit(None).cast("string"))
+    names = {t: lang for _, t, lang in rows if lang}
+    pairs = F.create_map(*[F.lit(x) for p in names.items() for x in p])
+    df = df.withColumn("lang", pairs[F.col("text")])
+    got = {(r.doc_id, r.lang_pred): r for r in langid.identify(df).collect()}
+    import zlib
+
+    learn = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.stack([plain_features(t) for t, _ in learn])
+    fam = {"en": "germanic", "de": "germanic", "fr": "romance"}
+    top = plain_machine(x, [1 if fam[lang] == "germanic" else -1 for _, lang in learn])
+    low_rows = [k for k, (_, lang) in enumerate(learn) if fam[lang] == "germanic"]
+    low = plain_machine(x[low_rows], [1 if learn[k][1] == "de" else -1 for k in low_rows])
+    sure = lambda m: 1 / (1 + math.exp(-3 * m))
+    for i, t, _ in rows:
+        if t is None or t == "12":
+            assert got[i, "und"].score == 0
+            continue
+        f = plain_features(t)
+        m = f @ top[:-1] + top[-1]
+        want, score = ("fr", sure(-m)) if m < 0 else (None, sure(m))
+        if want is None:
+            n = f @ low[:-1] + low[-1]
+            want, score = ("de", score * sure(n)) if n >= 0 else ("en", score * sure(-n))
+        assert math.isclose(got[i, want].score, score, abs_tol=2e-3), (i, t)
+
+
+def test_language_filter_goes_by_the_prediction(stored):
+    rows = [(k, prose(lang, k), lang) for lang in ("en", "fr") for k in range(60)]
+    df = labelled(stored, rows)
+    answers = langid.identify(df)
+    odd = stored([(1000, "zqx"), (1001, "the le"), (1002, "..")], clash=False).select("text", "doc_id", F.lit(None).cast("string").alias("lang"))
+    both = df.select("text", "doc_id", "lang").unionByName(odd)
+    predicted = langid.identify(both).collect()
+    for languages, floor in ((None, 0.4), (None, 0.7), (["fr"], 0.4), ([], 0.0)):
+        want = sorted(r.doc_id for r in predicted if r.lang_pred != "und" and r.score >= floor and (languages is None or r.lang_pred in languages))
+        kept = langid.keep_known(both, languages, floor)
+        assert kept.columns == both.columns and sorted(r.doc_id for r in kept.collect()) == want
+    assert answers.filter("score < 0.7").count() == 0  # clean prose is far from the floor
+
+
 def test_language_is_judged_by_text_alone(spark):
     from tilewright.llm.common import table
 

@@ -5,10 +5,11 @@ for each pair, separate the related languages within it. Both levels see the sam
 square roots of the relative frequencies of hashed letter pairs and triples of the whole
 text, in UTF-8 and lower case, everything but letters as a space.
 
-The models are fitted on the driver on a bounded sample: at most SAMPLE documents of each
-language, those with the smallest hash of their id. Executors send their feature vectors,
-not their texts. The model (one weight vector for each pair of classes) is as large as
-the number of languages allows, whatever the corpus. Predicting is one pass without shuffle.
+The models are fitted on the driver on a bounded sample: SAMPLE documents of each language,
+those with the smallest hash of their id and text (documents equal in both count once), for
+at most LANGUAGES languages, those with the most documents. Executors send their feature
+vectors, not their texts. The model (one weight vector for each pair of classes) is as large
+as the number of languages allows, whatever the corpus. Predicting is one pass without shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ FAMILIES = {
     "semitic": ("ar", "he", "mt"),
 }
 
-SAMPLE = 800
+#: Documents of a language, and languages, that are learned from.
+SAMPLE, LANGUAGES = 800, 64
+#: Least score of a document whose language counts as found.
+FLOOR = 0.4
 FEATURES = 4096
 _BITS = 12
 _LETTER = regex.compile(r"\p{L}")
@@ -138,16 +142,23 @@ def _sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Hierarchy:
-    """Fit on at most sample documents of each non-null language of labelled."""
-    order = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(5)), F.lit(1 << 40))
-    known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), order.alias("order"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """Fit on sample documents of each non-null language of labelled, or all if there are fewer.
+
+    Documents count if they have a letter, and once if id and text are the same. Of more
+    than LANGUAGES values of lang, those with the most documents are learned.
+    """
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    order = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text, F.lit(5)), F.lit(1 << 40))
+    known = labelled.filter(lang.isNotNull() & F.regexp_like(text, F.lit(r"\p{L}")))
+    rows = known.select(text.alias("text"), lang.alias("lang"), order.alias("order"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("order", 0.02).alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
     # the share of hashes that holds about a quarter more than the sample; cut to size below
     share = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        share = share | ((F.col("lang") == lang) & (F.col("order") < int(min(1.0, (1.25 * sample + 50) / n) * (1 << 40))))
-    got = rows.filter(share).mapInPandas(trimmed(_sent), "lang string, order long, x binary").toPandas()
+    for name, n in sorted(counts.items()):
+        share = share | ((F.col("lang") == name) & (F.col("order") < int(min(1.0, (1.25 * sample + 50) / max(1, n)) * (1 << 40))))
+    drawn = rows.filter(share).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    got = drawn.mapInPandas(trimmed(_sent), "lang string, order long, x binary").toPandas()
     got = got.sort_values(["lang", "order", "x"]).groupby("lang").head(sample)
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, FEATURES).astype(np.float32)
     langs = got["lang"].tolist()
@@ -167,22 +178,24 @@ def _answers(model: Hierarchy, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return lang, score
 
 
-def _predicted(model: Hierarchy, text_col: str):
+def _predicted(model: Hierarchy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = _answers(model, batch.column(text_col))
-            names = [n for n in batch.schema.names if n != text_col]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            lang, score = _answers(model, batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
 
 
-def _known_only(model: Hierarchy, text_col: str):
+def _known_only(model: Hierarchy, text_col: str, languages: frozenset[str] | None, floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col)
             if model.families:
-                known = _answers(model, texts)[0] != UNKNOWN
+                lang, score = _answers(model, texts)
+                known = (lang != UNKNOWN) & (score >= floor)
+                if languages is not None:
+                    known &= np.array([s in languages for s in lang], bool)
             else:
                 known = [has_letter(t.as_py()) for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
@@ -196,10 +209,10 @@ def predict(docs: DataFrame, model: Hierarchy, keep: list[Column], text_col: str
     A text that is null or has no letter is "und" with score 0, as is any text if the
     model has learned no language. Repeated rows are answered once each.
     """
-    text = "__text"
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias(text))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != text)
-    return rows.mapInArrow(trimmed(_predicted(model, text)), f"{schema}, lang_pred string, score double")
+    # the text comes first, under whatever name, so that no name of keep can clash with it
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *keep)
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[1:])
+    return rows.mapInArrow(trimmed(_predicted(model)), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -213,10 +226,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, [F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out")], text_col)
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows in which no language is found ("und"), all columns unchanged.
+def keep_known(
+    docs: DataFrame, languages: list[str] | None = None, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """docs whose predicted language is one of languages (None: any) with a score of floor or more, all columns unchanged.
 
-    Where no language could be learned, the rows with a letter are kept.
+    Rows whose text is null, empty or without a letter have no language and go. Where no
+    language could be learned, the rows with a letter are kept.
     """
     model = fit(docs.filter(~held_out(id_col)), text_col, lang_col, id_col)
-    return docs.mapInArrow(trimmed(_known_only(model, text_col)), docs.schema)
+    return docs.mapInArrow(trimmed(_known_only(model, text_col, languages and frozenset(languages), floor)), docs.schema)
