@@ -25,7 +25,7 @@ def test_piecewise_encoding_equals_the_library(kind, file):
     texts, lib = odd_texts(), vocab._load(file)
     want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
     assert list(kind(file).encode_all(pa.array(texts))) == want
-    assert list(kind(file, remember=50).encode_all(pa.array(texts))) == want
+    assert list(kind(file, remember=9000).encode_all(pa.array(texts))) == want
 
 
 def test_backtracking_equals_the_library():
@@ -37,6 +37,30 @@ def test_backtracking_equals_the_library():
         assert mine.decode(packed) == lib.decode(ids, skip_special_tokens=False).encode()
 
 
+def test_a_long_word_takes_little_memory():
+    import tracemalloc
+
+    coder = bpe.word_bpe(WORD).merger
+    word = "".join(random.Random(3).choices("abcdehinorst", k=60_000))
+    coder.encode(word)  # the table of pairs is bounded by itself
+    tracemalloc.start()
+    ids = coder.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(coder.strings[i] for i in ids) == word + bpe.END and peak < 40 * len(word)
+
+
+def test_workers_drop_what_other_tasks_remember():
+    from tilewright.llm.common import trimmed
+
+    vocab.byte_encoder(BYTE), bpe.word_bpe(WORD)
+    list(trimmed(iter, "byte_encoder")([]))
+    assert vocab.byte_encoder.cache_info().currsize == 1 and bpe.word_bpe.cache_info().currsize == 0
+    encoder = vocab.ByteEncoder(BYTE, remember=10_000)
+    for _ in encoder.encode_all(pa.array([" ".join(f"w{k}" for k in range(at, at + 30)) for at in range(0, 900, 30)])):
+        assert encoder.held <= 10_000
+
+
 def test_backtracking_equals_merging():
     rng = random.Random(2)
     coder = bpe.word_bpe(WORD).merger
@@ -121,6 +145,27 @@ def test_packing(edges, empty, stored):
     assert check_packed(got, rows) <= 1.02 * sum(r.length for r in got) / 1024 + 8
 
 
+def test_the_bound_on_open_bins_binds(stored):
+    rng = random.Random(8)
+    lengths = [min(1023, 1 + int(rng.lognormvariate(6, 0.7))) for _ in range(30_000)]
+    fit, closed, most = packing.BestFit(), 0, 0
+    for at in range(0, len(lengths), packing.WINDOW):
+        for n in sorted(lengths[at : at + packing.WINDOW], reverse=True):
+            closed += fit.open == fit.limit and not fit.bits >> n
+            fit.place(n)
+            most = max(most, fit.open)
+    assert most == packing.OPEN_BINS < packing.WINDOW < packing.PACKER_ROWS and closed > 100
+    assert fit.made <= 1.01 * sum(lengths) / 1024
+
+
+@pytest.mark.parametrize("window,open_bins", [(1, 8), (16, 4), (4096, 1)])
+def test_packing_in_windows(stored, window, open_bins):
+    rng = random.Random(4)
+    rows = [(k, "word " * rng.randint(0, 1500)) for k in range(300)]
+    got = packing.pack_documents(stored(rows), window=window, open_bins=open_bins).collect()
+    assert check_packed(got, rows) <= 1.5 * sum(r.length for r in got) / 1024 + 8
+
+
 def test_best_fit_by_hand():
     fit = packing.BestFit(capacity=10, open_bins=2)
     assert [fit.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a private one only where the session names none."""
+    """The shared folder for checkpoints; a private one only where a local session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tilewright-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -39,6 +41,14 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,14 +99,27 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def trimmed(run: Callable) -> Callable:
-    """run (batches -> batches), giving the worker's free memory back to the system when it ends.
+_REMEMBERED: dict[str, Callable] = {}
+
+
+def remembered(make: Callable) -> Callable:
+    """make, called once in a worker for the same arguments, until a task that does not use it starts there."""
+    _REMEMBERED[make.__name__] = lru_cache(maxsize=2)(make)
+    return _REMEMBERED[make.__name__]
+
+
+def trimmed(run: Callable, uses: str = "") -> Callable:
+    """run (batches -> batches) in a worker that holds nothing but what run uses: the name of a remembered function.
 
-    Workers live on between stages; what a stage has freed would otherwise stay with them.
+    Workers live on between stages. What other stages remember is dropped when a task
+    starts, and what a task has freed is given back to the system when it ends.
     """
 
     @wraps(run)
     def ends(batches):
+        for name, make in _REMEMBERED.items():
+            if name != uses:
+                make.cache_clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread, text_of
+from .common import cut, free_name, spread, text_of
 
 BLOCK_BYTES = 4096
 
@@ -119,7 +119,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     docs must be stable when read twice (a file scan is): rows are matched by their place.
     """
-    uid = "__tilewright_uid"
+    uid = free_name(docs, "uid")
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("uid").alias(uid))
     return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").drop(uid)
 

@@ -174,7 +174,7 @@ def write_tokens(
     to = to or f"{ensure_checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ordered.mapInArrow(trimmed(_shards(tokenizer or path("word_bpe_49k.json"), end_id, width, shard_tokens)), SHARD_SCHEMA)
+    shards = ordered.mapInArrow(trimmed(_shards(tokenizer or path("word_bpe_49k.json"), end_id, width, shard_tokens), "word_encoder"), SHARD_SCHEMA)
     shards.write.mode("overwrite").option("compression", "none").parquet(to)
     return to
 

@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import os
 import string
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import portions
+from .common import portions, remembered
 
-#: Pieces that a worker remembers before it starts afresh; bounds its memory.
-REMEMBER = 600_000
+#: About as many bytes of pieces and their ids a worker remembers before it starts afresh.
+REMEMBER = 40 << 20
+#: What a remembered piece takes beside its letters and ids.
+ENTRY = 170
 #: Longer pieces are encoded but not remembered.
 LONGEST = 64
 #: Texts that are encoded together, and the bytes after which fewer are.
@@ -59,7 +60,7 @@ class PieceEncoder:
     whole_pattern = ""
 
     def __init__(self, file: str, remember: int = REMEMBER):
-        self.tokenizer, self.remember = _load(file), remember
+        self.tokenizer, self.remember, self.held = _load(file), remember, 0
         self.known: dict[str, bytes] = {"": b""}
         vocab = self.tokenizer.get_vocab()
         self.flags = np.zeros(max(vocab.values()) + 1, bool)
@@ -112,10 +113,14 @@ class PieceEncoder:
         new = [p for p, ids in zip(pieces, got, strict=True) if ids is None]
         if not new:
             return got
-        if len(self.known) + len(new) > self.remember:
-            self.known = {"": b""}
         found = self._fresh(new)
-        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        short = {p: ids for p, ids in found.items() if len(p) <= LONGEST}
+        size = sum(ENTRY + len(p) + len(ids) for p, ids in short.items())
+        if self.held + size > self.remember:
+            self.known, self.held = {"": b""}, 0
+        if size <= self.remember:
+            self.known.update(short)
+            self.held += size
         return [found[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
 
     def _parted(self, pieces: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -219,13 +224,13 @@ class ByteEncoder(PieceEncoder):
         return [ids[a:b].tobytes() for a, b in zip(starts, stops.tolist(), strict=True)]
 
 
-@lru_cache(maxsize=4)
+@remembered
 def word_encoder(file: str) -> WordEncoder:
     """One for each Python worker."""
     return WordEncoder(file)
 
 
-@lru_cache(maxsize=4)
+@remembered
 def byte_encoder(file: str) -> ByteEncoder:
     """One for each Python worker."""
     return ByteEncoder(file)
