@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result
 as Parquet to the shared folder and reads it again as the next stage's documents. All
-stages but the last return the columns of documents.
+stages but the last return the columns of documents. An empty table gives an empty result;
+rows that repeat are rows of their own until the copies go.
 """
 
 from __future__ import annotations
@@ -16,27 +17,31 @@ from tilewright.llm.common import ensure_checkpoint_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; texts that are null or without a letter go."""
+    """Documents whose language is predicted with a score of langid.FLOOR or more.
+
+    Texts that are null, empty or without a letter have no language and go. Where no
+    document is labelled, nothing can be predicted, and all texts with a letter stay.
+    """
     return langid.keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the document with the largest doc_id."""
+    """Of identical texts the document with the largest doc_id; a null text is as an empty one, a null id the smallest."""
     return exact_dedup.keep_first_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
+    """Of each group of near copies the document with the smallest doc_id; texts without words are one group, null ids come last."""
     return jaccard_join.keep_one_of_each(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with marks in place of personal data; n_chars follows."""
+    """Documents with marks in place of personal data; n_chars follows. All rows stay, a null text stays null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 1024 tokens."""
+    """The documents' pieces and their places in sequences of 1024 tokens; a null or empty text is its end id alone."""
     return packing.pack_documents(docs)
 
 
