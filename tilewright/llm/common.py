@@ -79,6 +79,29 @@ def portions(of, rows: int, size: int, text: int | str | None = None) -> Iterato
             at = stop
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about rows consecutive rows that hold their groups whole, and where in them groups start and the last ends."""
+    held: list[pa.RecordBatch] = []
+
+    def cut_up(last: bool):
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([t.column(n).to_numpy() for n in keys])
+        starts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist()]
+        stop = t.num_rows if last else starts[-1]
+        held[:] = t.slice(stop).to_batches()
+        return t.slice(0, stop), np.array([*starts, *([stop] if last else [])])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            t, starts = cut_up(False)
+            if t.num_rows:
+                yield t, starts
+    if held:
+        yield cut_up(True)
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal keys, whatever batches they came in."""
     held: list[pa.RecordBatch] = []
