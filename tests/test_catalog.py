@@ -20,6 +20,20 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_an_error_inside_the_optional_part_is_not_hidden():
+    import subprocess
+    import sys
+
+    root = __import__("oracle").__file__.rsplit("/", 2)[0]
+    import importlib.util
+
+    if importlib.util.find_spec("tilewright.llm") is None:
+        pytest.skip("the optional part is not here")
+    raises = "import sys; sys.modules['pyarrow.compute'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", raises], capture_output=True, cwd=root)
+    assert done.returncode != 0 and b"Error" in done.stderr
+
+
 def test_rest_stands_without_the_optional_part():
     import subprocess
     import sys

@@ -163,11 +163,108 @@ def test_prune_and_lru_match_loops(spark):
     assert {r.key for r in cache.lru_contents(df, 5).collect()} == set(held)
 
 
+def test_lru_over_many_ranges_and_admission_by_device(spark):
+    rng = np.random.default_rng(12)
+    uses = [(f"k{int(k)}", int(s)) for s, k in enumerate(rng.zipf(1.3, 3000) % 200)]
+    df = spark.createDataFrame(uses, "key string, seq long").repartition(7)
+    for capacity in (1, 5, 60):
+        held, want = [], {}
+        for k, s in uses:
+            want[s] = k in held
+            held = [x for x in held if x != k] + [k]
+            held = held[-capacity:]
+        assert {r.seq: r.hit for r in cache.lru_hits(df, capacity).collect()} == want
+    rows = [(int(rng.integers(0, 9)), int(s) // 3, int(s), int(rng.integers(0, 60)), int(rng.integers(0, 4))) for s in rng.permutation(600)]
+    df = spark.createDataFrame(rows, "atlas long, ts long, event_id long, bytes long, device long")
+    held, want = {}, {}
+    for atlas, _, event, size, device in sorted(rows, key=lambda r: (r[1], r[2])):
+        own = held.setdefault(device, {})
+        want[event] = sum(own.values()) - own.get(atlas, 0) + size <= 150
+        if want[event]:
+            own[atlas] = size
+    assert {r.event_id: r.admitted for r in ledger.admit(df, 150, "device").collect()} == want
+
+
+def test_near_pairs_meet_in_few_keys(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 300)
+    rows = [(k, bool(k % 2), int(b)) for k, b in enumerate(base)]
+    for k in range(300):  # some that differ in up to eight bits
+        flip = sum(1 << int(i) for i in rng.choice(63, int(rng.integers(0, 9)), replace=False))
+        rows.append((1000 + k, bool(k % 2), int(base[k]) ^ flip))
+    prints = spark.createDataFrame(rows, "id long, tinted boolean, fp long")
+    for near in (0, 1, 6, 8, 9):
+        want = {(a, b, bin(f ^ g).count("1")) for a, s, f in rows for b, t, g in rows if a < b and s == t and bin(f ^ g).count("1") <= near}
+        got = [tuple(r) for r in fingerprint.near_pairs(prints, near).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_driver_encodes_each_content_once_and_stops_at_a_failure(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (10, 6, 4))
+    df = frame(spark, a, 0).unionByName(frame(spark, a, 1)).unionByName(frame(spark, a[:, ::-1], 2)).unionByName(frame(spark, a, 3))
+    strips = compress.packed_strips(df)
+    assert strips.count() == 12 and {(r.strip, r.h) for r in strips.collect()} == {(0, 4), (1, 4), (2, 2)}
+    broken = strips.withColumn("rgba", F.expr("if(image_id = 3 and strip = 1, substring(rgba, 1, 5), rgba)"))
+    done = compress.driver(broken, None, 4).collect()
+    assert {r.image_id for r in done} == {0, 1, 2} and all(r.source == "encoded" for r in done)
+    whole = compress.compress_images(compress.packed_images(frame(spark, a, 0))).first().blocks
+    for image_id in (0, 1):
+        assert b"".join(r.blocks for r in sorted((r for r in done if r.image_id == image_id), key=lambda r: r.strip)) == whole
+    stored = spark.createDataFrame([(r.key, r.w, r.h, r.blocks) for r in done if r.image_id == 0], "key string, w int, h int, blocks binary")
+    again = compress.driver(strips, stored, 4).collect()
+    assert {(r.image_id, r.source) for r in again} == {(0, "cache"), (1, "cache"), (2, "encoded"), (3, "cache")}
+    assert all(r.source == "encoded" for r in compress.driver(strips, stored, 5).collect())  # another quality
+
+
+def test_kernel_failures_cost_one_image(spark, monkeypatch):
+    good = np.random.default_rng(3).integers(0, 256, (4, 4, 4))
+    rows = compress.packed_images(frame(spark, good, 0).unionByName(frame(spark, good, 1)))
+    together = {r.image_id: r.blocks for r in compress.compress_images(rows).collect()}
+    refused = compress.compress_images(rows, "BC7", lambda t: None).collect()
+    assert {r.image_id: r.blocks for r in refused} == together and all(r.reason == "second encoder" for r in refused)
+
+
+def test_hidden_texels_weigh_less():
+    rng = np.random.default_rng(5)
+    x = np.zeros((200, 16, 4), np.uint8)
+    x[..., :3] = 100 + rng.integers(0, 12, (200, 16, 1))
+    x[..., 3] = 255
+    x[:, ::3, :3] = rng.integers(0, 256, (200, 6, 3))
+    x[:, ::3, 3] = 0  # hidden, of any colour
+    out = bc7.decode(bc7.encode(x)[0]).astype(int)
+    shown = x[..., 3] > 0
+    assert np.abs(out[shown][:, :3] - x[shown][:, :3].astype(int)).mean() < 4
+
+
+def test_settings_reach_the_plans(spark):
+    from oracle import SF
+
+    from tilewright import catalog
+
+    spark.conf.set("spark.tilewright.disabled", "true")
+    spark.conf.set("spark.tilewright.budget_mb", "300")
+    try:
+        assert catalog.queries()["format_routing"](spark, SF).count() == 0
+        assert catalog.queries()["effective_budget"](spark, SF).filter("budget_mb = 300").count() > 0
+    finally:
+        spark.conf.unset("spark.tilewright.disabled")
+        spark.conf.unset("spark.tilewright.budget_mb")
+
+
+def test_settling_with_pending_work(spark):
+    from tilewright.streaming import animation
+
+    rows = [(1, 10, 10, None), (1, 100, 700, 50), (1, 950, 950, None), (2, 5, 5, None), (3, 1, 1, 400), (4, 7000, 7000, 7000)]
+    df = spark.createDataFrame(rows, "atlas long, tick long, until long, seen long")
+    assert {r.atlas: r.settled_at for r in animation.settled(df).collect()} == {1: 900, 2: 6000, 3: 400, 4: 6000}
+
+
 def test_lookup_rejects_unsound_entries(spark):
-    cols = "key string, format string, width int, height int, quality int, size long, last_access long"
-    e = spark.createDataFrame([("a", "bc7", 4, 4, 4, 40, 1), ("b", "bc7", 0, 4, 4, 40, 1), ("c", "tmp", 4, 4, 4, 40, 1), ("d", "bc7", 4, 4, 4, 24, 1)], cols)
+    cols = "key string, format string, width int, height int, quality int, size long, declared long, last_access long"
+    e = spark.createDataFrame([("a", "bc7", 4, 4, 4, 40, 16, 1), ("b", "bc7", 0, 4, 4, 40, 16, 1), ("c", "tmp", 4, 4, 4, 40, 16, 1), ("d", "bc7", 4, 4, 4, 24, 0, 1), ("e", "bc7", 4, 4, 4, 39, 16, 1)], cols)
     asked = e.select("key", "format", "width", "height", "quality").union(spark.createDataFrame([("a", "bc7", 4, 4, 5)], "key string, format string, width int, height int, quality int"))
-    assert sorted((r.key, r.quality, r.hit) for r in cache.lookup(asked, e).collect()) == [("a", 4, True), ("a", 5, False), ("b", 4, False), ("c", 4, False), ("d", 4, False)]
+    assert sorted((r.key, r.quality, r.hit) for r in cache.lookup(asked, e).collect()) == [("a", 4, True), ("a", 5, False), ("b", 4, False), ("c", 4, False), ("d", 4, False), ("e", 4, False)]
 
 
 def test_psnr_infinite_and_hidden(spark):

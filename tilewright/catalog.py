@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.config import Config
 from tilewright.functions import content
 from tilewright.operators import bc1, cache, fingerprint, image, ledger
 from tilewright.plans import compress
@@ -17,7 +18,7 @@ from tilewright.streaming import animation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WIDTH, LEVELS, NEAR = 200, 7, 20
+WIDTH, LEVELS = 200, 7
 
 
 def query(sql: str | None = None):
@@ -90,19 +91,18 @@ def padding_ring(spark, sf_dir):
     return image.padded(fx.sprites(spark, sf_dir), fx.pixels(spark, sf_dir))
 
 
-_REQUESTS = """request AS (SELECT entry_id AS request_id, key, format, width, height, CAST(CASE WHEN entry_id % 5 = 0 THEN quality + 1 ELSE quality END AS INTEGER) AS quality FROM cache WHERE entry_id % 2 = 0)"""
+_REQUESTS = """request AS (SELECT entry_id AS request_id, key, format, width, height, CAST(CASE WHEN entry_id % 5 = 0 THEN quality + 1 ELSE quality END AS INTEGER) AS quality FROM cache)"""
 
 
 def _requests(spark, sf_dir):
-    e = fx.cache_entries(spark, sf_dir).filter("entry_id % 2 = 0")
-    return e.select(F.col("entry_id").alias("request_id"), "key", "format", "width", "height", F.expr("if(entry_id % 5 = 0, quality + 1, quality)").alias("quality"))
+    return fx.cache_entries(spark, sf_dir).select(F.col("entry_id").alias("request_id"), "key", "format", "width", "height", F.expr("if(entry_id % 5 = 0, quality + 1, quality)").alias("quality"))
 
 
 @query(
     _with(fx.CACHE_SQL, _REQUESTS)
     + """ SELECT request_id, b.last_access IS NOT NULL AS hit, coalesce(b.last_access, -1) AS last_access FROM request r LEFT JOIN (
     SELECT key, format, width, height, quality, max(last_access) AS last_access FROM cache
-    WHERE format IN ('bc1', 'bc7') AND size > 24 AND width > 0 AND height > 0 GROUP BY ALL) b USING (key, format, width, height, quality)"""
+    WHERE format IN ('bc1', 'bc7') AND declared > 0 AND size >= 24 + declared AND width > 0 AND height > 0 GROUP BY ALL) b USING (key, format, width, height, quality)"""
 )
 def cache_read(spark, sf_dir):
     return cache.lookup(_requests(spark, sf_dir), fx.cache_entries(spark, sf_dir)).select("request_id", "hit", F.coalesce("last_access", F.lit(-1)).alias("last_access"))
@@ -111,7 +111,7 @@ def cache_read(spark, sf_dir):
 @query(
     _with(fx.CACHE_SQL, _REQUESTS)
     + """, hits AS (SELECT DISTINCT r.key, r.format FROM request r JOIN cache c USING (key, format, width, height, quality)
-    WHERE format IN ('bc1', 'bc7') AND size > 24 AND width > 0 AND height > 0)
+    WHERE format IN ('bc1', 'bc7') AND declared > 0 AND size >= 24 + declared AND width > 0 AND height > 0)
   SELECT entry_id, CASE WHEN h.key IS NULL THEN last_access ELSE 9999999 END AS last_access FROM cache LEFT JOIN hits h USING (key, format)"""
 )
 def cache_touch(spark, sf_dir):
@@ -222,7 +222,7 @@ def valid_images(spark, sf_dir):
 def format_routing(spark, sf_dir):
     n = F.col("vec_id")
     policy = fx.read(spark, sf_dir, "embeddings").filter(n % 7 == 0).select(n.alias("image_id"), F.when(n % 14 == 0, "ETC2").otherwise("BC1").alias("format"), (n % 21 == 0).alias("cancelled"))
-    return compress.routed(fx.sprites(spark, sf_dir).select(F.col("sprite_id").alias("image_id")), policy)
+    return compress.routed(fx.sprites(spark, sf_dir).select(F.col("sprite_id").alias("image_id")), policy, disabled=Config.of(spark).disabled)
 
 
 @query(
@@ -348,7 +348,7 @@ coef AS (SELECT image_id, CAST(u AS INTEGER) * 8 + CAST(v AS INTEGER) - 1 AS i,
            * sum(l * cos((2 * y + 1) * u * pi() / 16) * cos((2 * x + 1) * v * pi() / 16)) AS c FROM luma, range(8) a(u), range(8) b(v) WHERE u + v > 0 GROUP BY image_id, u, v),
 print AS (SELECT image_id AS id, image_id % 2 = 1 AS tinted, CAST(sum(CASE WHEN c > m THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS fp
           FROM coef JOIN (SELECT image_id, median(c) AS m FROM coef GROUP BY image_id) USING (image_id) GROUP BY image_id)"""
-_FAMILIES = """edge AS (SELECT p.id AS a, q.id AS b FROM print p JOIN print q ON p.tinted = q.tinted AND bit_count(xor(p.fp, q.fp)) <= 20),
+_FAMILIES = """edge AS (SELECT p.id AS a, q.id AS b FROM print p JOIN print q ON p.tinted = q.tinted AND bit_count(xor(p.fp, q.fp)) <= 6),
 reach AS (SELECT id AS a, id AS b FROM print UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
 family AS (SELECT a AS sprite_id, min(b) AS family_id FROM reach GROUP BY a)"""
 
@@ -365,15 +365,15 @@ def phash(spark, sf_dir):
 
 @query(
     _with(fx.PIXEL_SQL, _PRINT)
-    + " SELECT p.id AS a, q.id AS b, CAST(bit_count(xor(p.fp, q.fp)) AS INTEGER) AS distance FROM print p JOIN print q ON p.id < q.id AND p.tinted = q.tinted AND bit_count(xor(p.fp, q.fp)) <= 20"
+    + " SELECT p.id AS a, q.id AS b, CAST(bit_count(xor(p.fp, q.fp)) AS INTEGER) AS distance FROM print p JOIN print q ON p.id < q.id AND p.tinted = q.tinted AND bit_count(xor(p.fp, q.fp)) <= 6"
 )
 def phash_pairs(spark, sf_dir):
-    return fingerprint.near_pairs(_prints(spark, sf_dir), NEAR)
+    return fingerprint.near_pairs(_prints(spark, sf_dir), Config.of(spark).near)
 
 
 @query(_with(fx.PIXEL_SQL, _PRINT, _FAMILIES) + " SELECT sprite_id, family_id FROM family")
 def phash_families(spark, sf_dir):
-    return fingerprint.families(_prints(spark, sf_dir), NEAR)
+    return fingerprint.families(_prints(spark, sf_dir), Config.of(spark).near)
 
 
 @query(
@@ -381,7 +381,7 @@ def phash_families(spark, sf_dir):
     + " SELECT count(*) AS sprites, count(DISTINCT family_id) AS families, greatest(0, count(*) - count(DISTINCT family_id)) AS duplicates FROM family"
 )
 def phash_duplicates(spark, sf_dir):
-    return fingerprint.duplicate_count(fingerprint.families(_prints(spark, sf_dir), NEAR))
+    return fingerprint.duplicate_count(fingerprint.families(_prints(spark, sf_dir), Config.of(spark).near))
 
 
 # families over numbers that SQL can make too: hashes of keys in place of fingerprints
@@ -460,27 +460,92 @@ def compress_images(spark, sf_dir):
     return compress.compress_images(images).select("image_id", F.length("blocks").alias("size"), F.sha2("blocks", 256).alias("digest"), "reason")
 
 
+_DRIVEN = """driven AS (SELECT level, w, h, CAST((w + 3) // 4 * ((h + 3) // 4) * 16 AS BIGINT) AS size, CAST(w AS BIGINT) * h * 4 AS whole FROM (SELECT DISTINCT level, w, h FROM mip) WHERE level < 6)"""
+
+
+def _driven(spark, sf_dir) -> DataFrame:
+    """The whole plan: levels in strips, those that the cache holds (the even ones), the rest encoded, up to the first that fails (the sixth)."""
+    quality = Config.of(spark).quality
+    strips = compress.packed_strips(_chain(spark, sf_dir).drop("image_id").withColumnRenamed("level", "image_id"))
+    strips = settle(strips.withColumn("rgba", F.expr("if(image_id = 6, substring(rgba, 1, 3), rgba)")))
+    folder = f"{_shared(spark)}/blocks-{uuid.uuid4().hex}"
+    first = compress.driver(strips.filter("image_id % 2 = 0"), None, quality)
+    first.select("key", "w", "h", "blocks").write.parquet(folder)
+    return compress.driver(strips, spark.read.parquet(folder), quality)
+
+
 @query(
-    _with(fx.PIXEL_SQL, fx.SPRITE_SQL, _ATLAS, _mip_sql(LEVELS))
-    + """ SELECT level, w, h, CASE WHEN level % 2 = 0 THEN 'cache' ELSE 'encoded' END AS source, CAST((w + 3) // 4 * ((h + 3) // 4) * 16 AS BIGINT) AS size, level >= 3 AS retained
-  FROM (SELECT DISTINCT level, w, h FROM mip) WHERE level < 6"""
+    _with(fx.PIXEL_SQL, fx.SPRITE_SQL, _ATLAS, _mip_sql(LEVELS), _DRIVEN)
+    + " SELECT level, w, h, level % 2 = 0 AS cached, size, level >= 3 AS retained FROM driven"
 )
 def compress_driver(spark, sf_dir):
-    """The whole plan: levels, those that the cache holds (the even ones), the rest encoded, up to the first that fails (the sixth)."""
-    images = compress.packed_images(_chain(spark, sf_dir).drop("image_id").withColumnRenamed("level", "image_id"))
-    images = settle(images.withColumn("rgba", F.expr("if(image_id = 6, substring(rgba, 1, 3), rgba)")))
-    stored = f"{_shared(spark)}/blocks-{uuid.uuid4().hex}"
-    first = compress.driver(images.filter("image_id % 2 = 0"), None, 4)
-    first.select("key", "w", "h", "blocks").write.parquet(stored)
-    out = compress.driver(images, spark.read.parquet(stored), 4)
-    return out.select(F.col("image_id").alias("level"), "w", "h", "source", F.length("blocks").cast("long").alias("size"), (F.col("image_id") >= 3).alias("retained"))
+    done = _driven(spark, sf_dir).groupBy(F.col("image_id").alias("level"), "w").agg(
+        F.sum("h").cast("int").alias("h"), F.bool_and(F.col("source") == "cache").alias("cached"), F.sum(F.length("blocks").cast("long")).alias("size")
+    )
+    return done.select("level", "w", "h", "cached", "size", (F.col("level") >= 3).alias("retained"))
 
 
-@query()
+@query(_with(fx.PIXEL_SQL, fx.SPRITE_SQL, _ATLAS, _mip_sql(LEVELS), _DRIVEN) + " SELECT level AS image_id, 'BC7' AS format, whole - size AS saved, size AS resident FROM driven")
+def compress_post(spark, sf_dir):
+    return compress.post_records(_driven(spark, sf_dir))
+
+
+@query(
+    _with(
+        fx.PIXEL_SQL,
+        """word AS (SELECT image_id, CAST((y * 8 + x) // 2 AS INTEGER) AS k, sum(CAST(r + g * 256 + b * 65536 + CAST(a AS BIGINT) * 16777216 AS HUGEINT) * CASE WHEN x % 2 = 1 THEN 4294967296 ELSE 1 END)::UHUGEINT AS v FROM pixel GROUP BY ALL)""",
+        f"""fold AS (SELECT DISTINCT image_id, 0 AS k, xor({content.SEED}::UHUGEINT, {8 << 32 | 8 << 1}::UHUGEINT) AS z FROM word
+    UNION ALL SELECT image_id, k, xor(z, z >> 31) FROM (SELECT image_id, k, (xor(z, z >> 27) * {content.FACTORS[1]}::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM (
+      SELECT image_id, k, (xor(z, z >> 30) * {content.FACTORS[0]}::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM (
+        SELECT f.image_id, f.k + 1 AS k, xor(f.z, w.v) AS z FROM fold f JOIN word w ON w.image_id = f.image_id AND w.k = f.k))))""",
+    )
+    + " SELECT image_id, CAST(CASE WHEN z >= 9223372036854775808::UHUGEINT THEN z::HUGEINT - 18446744073709551616::HUGEINT ELSE z::HUGEINT END AS BIGINT) AS hash FROM fold WHERE k = 32"
+)
 def content_hash64(spark, sf_dir):
     return content.content_hash(compress.packed_images(_sized(spark, sf_dir)))
 
 
+# what a sound encoder stays well below: the error of one colour a block
+_FLAT = """flat AS (SELECT image_id, x // 4 AS bx, y // 4 AS "by", round(avg(r)) AS mr, round(avg(g)) AS mg, round(avg(b)) AS mb, round(avg(a)) AS ma FROM pixel GROUP BY ALL),
+worst AS (SELECT p.image_id, CAST(sum((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb) + (a - ma) * (a - ma)) AS BIGINT) AS flat_error FROM pixel p JOIN flat f ON f.image_id = p.image_id AND f.bx = p.x // 4 AND f."by" = p.y // 4 WHERE p.image_id % 3 = 0 GROUP BY p.image_id)"""
+
+
+@query(_with(fx.PIXEL_SQL, _FLAT) + " SELECT image_id, flat_error, TRUE AS better FROM worst")
+def bc7_bound(spark, sf_dir):
+    """Of opaque images, the error of one colour a block, and whether BC7 blocks, decoded again, have at most three quarters of it.
+
+    The channels of these images are independent, so one line takes a third of the error away at least.
+    """
+    p = fx.pixels(spark, sf_dir).filter("image_id % 3 = 0").select("image_id", "x", "y", *image.CHANNELS)
+    at = p.withColumns({"bx": F.expr("x div 4"), "by": F.expr("y div 4")})
+    mean = at.groupBy("image_id", "bx", "by").agg(*[F.round(F.avg(c)).alias(f"m{c}") for c in image.CHANNELS])
+    error = lambda other: sum(((F.col(c) - F.col(other + c)) * (F.col(c) - F.col(other + c)) for c in image.CHANNELS), F.lit(0))
+    flat = at.join(mean, ["image_id", "bx", "by"]).groupBy("image_id").agg(F.sum(error("m")).cast("long").alias("flat_error"))
+    again = compress.decode_bc7(compress.encode_bc7(image.blocks(p.withColumns({"w": F.lit(8), "h": F.lit(8)}))))
+    again = again.select("image_id", "x", "y", *[F.col(c).alias(f"d{c}") for c in image.CHANNELS])
+    coded = p.join(again, ["image_id", "x", "y"]).groupBy("image_id").agg(F.sum(error("d")).alias("error"))
+    return flat.join(coded, "image_id").select("image_id", "flat_error", (4 * F.col("error") <= 3 * F.col("flat_error")).alias("better"))
+
+
+@query(
+    _with(
+        fx.PIXEL_SQL,
+        """hit AS (SELECT image_id, CAST(image_id % 5 AS INTEGER) AS rx, CAST(image_id % 3 AS INTEGER) AS ry, 3 AS w, CAST(image_id % 2 * 4 + 1 AS INTEGER) AS h FROM pixel WHERE x = 0 AND y = 0 AND image_id % 4 = 1)""",
+        """mixed AS (SELECT p.image_id, p.x, p.y, CASE WHEN q.image_id IS NULL THEN p.r ELSE q.r END AS r, CASE WHEN q.image_id IS NULL THEN p.g ELSE q.g END AS g, CASE WHEN q.image_id IS NULL THEN p.b ELSE q.b END AS b, p.a
+    FROM pixel p JOIN hit ON hit.image_id = p.image_id LEFT JOIN pixel q ON q.image_id = p.image_id + 1 AND q.x = p.x AND q.y = p.y AND p.x >= rx AND p.x < rx + w AND p.y >= ry AND p.y < least(8, ry + h)
+    WHERE p.x // 4 BETWEEN rx // 4 AND (rx + w - 1) // 4 AND p.y // 4 BETWEEN ry // 4 AND (least(8, ry + h) - 1) // 4)""",
+        _BC1.replace("FROM pixel ", "FROM mixed "),
+    )
+    + """ SELECT image_id, CAST("by" AS INTEGER) AS "by", CAST(bx AS INTEGER) AS bx, CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS block
+  FROM (SELECT image_id, "by", bx, c0 + CAST(c1 AS HUGEINT) * 65536 + ix * 4294967296 AS v FROM pair JOIN bits USING (image_id, "by", bx))"""
+)
+def deep_patch(spark, sf_dir):
+    """The next image's texels written into a rectangle of each fourth image, and the touched blocks encoded anew."""
+    p = fx.pixels(spark, sf_dir).select("image_id", "x", "y", *image.CHANNELS)
+    rects = p.filter("x = 0 and y = 0 and image_id % 4 = 1").selectExpr("image_id", "cast(image_id % 5 as int) as x", "cast(image_id % 3 as int) as y", "3 as w", "cast(image_id % 2 * 4 + 1 as int) as h")
+    return compress.patched_blocks(p, p.withColumn("image_id", F.col("image_id") - 1), rects, 8, 8, "BC1").select("image_id", "by", "bx", "block")
+
+
 # metrics
 
 _OTHER = "other AS (SELECT image_id, x, y, CAST(r // 2 * 2 AS INTEGER) AS r, g, CAST(CASE WHEN image_id % 5 = 0 THEN b ELSE 255 - b END AS INTEGER) AS b, a FROM pixel)"
@@ -517,6 +582,20 @@ def report(spark, sf_dir):
     return q.agg(F.when(F.min("psnr") >= 28, "static sprites: PASS").otherwise("static sprites: FAIL").alias("verdict"), F.count("*").alias("sprites"))
 
 
+@query(
+    _with(fx.PIXEL_SQL, _OTHER, _PSNR)
+    + """ SELECT unnest([CASE WHEN min(psnr) >= 28 THEN 'PASS' ELSE 'FAIL' END, 'sprites: ' || count(*), 'at or above 28 dB: ' || count(*) FILTER (WHERE psnr >= 28)]) AS value FROM quality"""
+)
+def report_text(spark, sf_dir):
+    """The report as a text file whose first line is the verdict, written and read again."""
+    q = image.psnr(fx.pixels(spark, sf_dir), _other(spark, sf_dir), ["image_id"])
+    counted = q.agg(F.min("psnr").alias("least"), F.count("*").alias("n"), F.count_if(F.col("psnr") >= 28).alias("good"))
+    lines = counted.select(F.concat_ws("\n", F.when(F.col("least") >= 28, "PASS").otherwise("FAIL"), F.concat(F.lit("sprites: "), "n"), F.concat(F.lit("at or above 28 dB: "), "good")).alias("value"))
+    folder = f"{_shared(spark)}/report-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(folder)
+    return spark.read.text(folder)
+
+
 _LATEST = "last AS (SELECT atlas, arg_max(bytes, (ts, event_id)) AS bytes, arg_max(reset, (ts, event_id)) AS reset FROM ledger GROUP BY atlas), resident AS (SELECT atlas, bytes FROM last WHERE bytes > 0 AND NOT reset)"
 
 
@@ -576,7 +655,7 @@ def savings_ranked(spark, sf_dir):
 def effective_budget(spark, sf_dir):
     s = fx.read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    return s.select(k.alias("device"), ledger.effective_budget(F.when(k % 10 == 0, 512), (k % 4 * 1001).cast("int"), F.lit(2048)).alias("budget_mb"))
+    return s.select(k.alias("device"), ledger.effective_budget(F.when(k % 10 == 0, 512), (k % 4 * 1001).cast("int"), F.lit(Config.of(spark).budget_mb)).alias("budget_mb"))
 
 
 def _requests_to_admit(spark, sf_dir):
@@ -621,7 +700,7 @@ def encode_statistics(spark, sf_dir):
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, concat(sha256(coalesce(text, '')), '-q4sv2') AS key FROM documents")
 def content_keys(spark, sf_dir):
     d = fx.read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    return d.select("doc_id", F.sha2("text", 256).alias("hash"), cache.content_key(F.col("text"), 4).alias("key"))
+    return d.select("doc_id", F.sha2("text", 256).alias("hash"), cache.content_key(F.col("text"), Config.of(spark).quality).alias("key"))
 
 
 @query("SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS encoded FROM documents")
@@ -652,11 +731,11 @@ def lru_contents(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT user_id AS key, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events WHERE event_id < 3000)
+    """WITH a AS (SELECT user_id AS key, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)
   SELECT a.seq, a.key, coalesce(a.prev IS NOT NULL AND count(DISTINCT b.key) < 40, FALSE) AS hit FROM a LEFT JOIN a b ON b.seq > a.prev AND b.seq < a.seq GROUP BY a.seq, a.key, a.prev"""
 )
 def lru_hits(spark, sf_dir):
-    e = fx.read(spark, sf_dir, "events").filter("event_id < 3000")
+    e = fx.read(spark, sf_dir, "events")
     return cache.lru_hits(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq")), 40)
 
 
@@ -677,16 +756,18 @@ def frame_redraw(spark, sf_dir):
     return animation.redraws(fx.frame_ticks(spark, sf_dir)).select("sprite_id", "tick")
 
 
-@query(
-    _with(fx.PIXEL_SQL)
-    + """ SELECT p.image_id, p.x, p.y, CAST(greatest(0, least(255, floor(((p.r / 256.0)::FLOAT * (1::FLOAT - 0.25::FLOAT) + (q.r / 256.0)::FLOAT * 0.25::FLOAT) * 255::FLOAT + 0.5::FLOAT))) AS INTEGER) AS r
-  FROM pixel p JOIN pixel q ON q.image_id = p.image_id + 1 AND q.x = p.x AND q.y = p.y"""
+_BLEND = ", ".join(
+    f"CAST(greatest(0, least(255, floor(((p.{c} / 256.0)::FLOAT * (1::FLOAT - 0.25::FLOAT) + (q.{c} / 256.0)::FLOAT * 0.25::FLOAT) * 255::FLOAT + 0.5::FLOAT))) AS INTEGER) AS {c}" for c in "rgba"
 )
+
+
+@query(_with(fx.PIXEL_SQL) + f" SELECT p.image_id, p.x, p.y, {_BLEND} FROM pixel p JOIN pixel q ON q.image_id = p.image_id + 1 AND q.x = p.x AND q.y = p.y")
 def frame_blend(spark, sf_dir):
-    p = fx.pixels(spark, sf_dir).select("image_id", "x", "y", "r")
-    q = p.select((F.col("image_id") - 1).alias("image_id"), "x", "y", F.col("r").alias("r2"))
+    p = fx.pixels(spark, sf_dir).select("image_id", "x", "y", *image.CHANNELS)
+    q = p.select((F.col("image_id") - 1).alias("image_id"), "x", "y", *[F.col(c).alias(f"{c}2") for c in image.CHANNELS])
     one = lambda c: (F.col(c) / 256.0).cast("float")
-    return p.join(q, ["image_id", "x", "y"]).select("image_id", "x", "y", animation.blended(one("r"), one("r2"), F.lit(0.25).cast("float")).alias("r"))
+    share = F.lit(0.25).cast("float")
+    return p.join(q, ["image_id", "x", "y"]).select("image_id", "x", "y", *[animation.blended(one(c), one(f"{c}2"), share).alias(c) for c in image.CHANNELS])
 
 
 @query(
@@ -707,7 +788,7 @@ def aligned_levels(spark, sf_dir):
     return animation.aligned_level(fx.rects(spark, sf_dir), 4)
 
 
-_RETAINED = "lv AS (SELECT DISTINCT p_partkey % 40 AS atlas_id, CAST(p_partkey % 40 % 3 AS INTEGER) AS aligned_level, CAST(p_partkey * 7 % 11 AS INTEGER) AS level FROM part WHERE p_partkey <= 150)"
+_RETAINED = "lv AS (SELECT DISTINCT p_partkey % 40 AS atlas_id, CAST(p_partkey % 40 % 3 AS INTEGER) AS aligned_level, CAST(p_partkey // 40 * (p_partkey % 40 % 6 + 1) % 12 AS INTEGER) AS level FROM part)"
 
 
 @query(
@@ -716,8 +797,9 @@ _RETAINED = "lv AS (SELECT DISTINCT p_partkey % 40 AS atlas_id, CAST(p_partkey %
   FROM (SELECT *, CASE WHEN level > aligned_level THEN row_number() OVER (PARTITION BY atlas_id, level > aligned_level ORDER BY level) END AS n FROM lv) GROUP BY atlas_id"""
 )
 def retained_levels(spark, sf_dir):
-    p = fx.read(spark, sf_dir, "part").filter("p_partkey <= 150")
-    lv = p.selectExpr("p_partkey % 40 as atlas_id", "cast(p_partkey % 40 % 3 as int) as aligned_level", "cast(p_partkey * 7 % 11 as int) as level").distinct()
+    p = fx.read(spark, sf_dir, "part")
+    # multiples of 1 to 6 modulo 12: what levels an atlas lacks depends on its number
+    lv = p.selectExpr("p_partkey % 40 as atlas_id", "cast(p_partkey % 40 % 3 as int) as aligned_level", "cast(p_partkey div 40 * (p_partkey % 40 % 6 + 1) % 12 as int) as level").distinct()
     return animation.retained_levels(lv)
 
 
@@ -761,6 +843,18 @@ def settling(spark, sf_dir):
     return animation.settled(fx.read(spark, sf_dir, "events").select(F.col("user_id").alias("atlas"), F.col("event_id").alias("tick")))
 
 
+_WORK = """work AS (SELECT user_id AS atlas, event_id AS tick, event_id + CASE WHEN event_type = 'click' THEN event_id % 7 * 90 ELSE 0 END AS until, CASE WHEN event_type = 'signup' THEN event_id END AS seen FROM events),
+run AS (SELECT atlas, max(until) OVER (PARTITION BY atlas ORDER BY tick) AS busy, lead(tick) OVER (PARTITION BY atlas ORDER BY tick) AS next, max(seen) OVER (PARTITION BY atlas) AS seen FROM work)"""
+
+
+@query(_with(_WORK) + " SELECT atlas, least(min(CASE WHEN seen IS NOT NULL AND (next IS NULL OR next > greatest(busy + 200, seen)) THEN greatest(busy + 200, seen) END), 6000) AS settled_at FROM run GROUP BY atlas")
+def settling_pending(spark, sf_dir):
+    """Settled atlases where clicks leave work pending and a signup is the target to be seen."""
+    e = fx.read(spark, sf_dir, "events")
+    n, kind = F.col("event_id"), F.col("event_type")
+    return animation.settled(e.select(F.col("user_id").alias("atlas"), n.alias("tick"), (n + F.when(kind == "click", n % 7 * 90).otherwise(0)).alias("until"), F.when(kind == "signup", n).alias("seen")))
+
+
 def _streamed(spark, sf_dir, name, build, mode: str) -> DataFrame:
     """Run a stream over a table's files to its end and read what it wrote."""
     folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
@@ -799,3 +893,25 @@ def stream_ledger(spark, sf_dir):
     out = _streamed(spark, sf_dir, "events", lambda s: animation.ledger_stream(fx.ledger_events(_Stream(s), "")), "update")
     last = out.groupBy("atlas").agg(F.max_by("bytes", F.struct("epoch", "ts_ns", "event_id")).alias("bytes"))
     return last.filter("bytes > 0")
+
+
+@query(
+    _with(
+        fx.TICK_SQL,
+        """change AS (SELECT sprite_id, frame, list({'tick': tick, 'version': CAST(CASE WHEN tick % 3 = 0 THEN -1 ELSE tick % 4 END AS BIGINT), 'blocks': tick} ORDER BY tick) AS c FROM tick GROUP BY sprite_id, frame)""",
+        """done AS (SELECT sprite_id, frame, list_reduce(c, lambda s, x: CASE WHEN x.version = -1 OR x.version = s.version THEN {'tick': x.tick, 'version': s.version + 1, 'blocks': x.blocks} ELSE s END,
+      {'tick': CAST(-1 AS BIGINT), 'version': CAST(0 AS BIGINT), 'blocks': CAST(-1 AS BIGINT)}) AS s FROM change)""",
+    )
+    + " SELECT sprite_id, frame, s.version AS version, s.blocks AS blocks FROM done WHERE s.version > 0"
+)
+def stream_upgrade(spark, sf_dir):
+    """Fast results, and better ones that replace an entry only in the version they were made for, as a stream."""
+
+    def build(source):
+        t = fx.frame_ticks(_Stream(source), "")
+        made = F.when(F.col("tick") % 3 != 0, F.col("tick") % 4)
+        return animation.upgrade_stream(t.select("sprite_id", "frame", "tick", F.col("tick").alias("blocks"), made.alias("made_for")))
+
+    out = _streamed(spark, sf_dir, "events", build, "update")
+    last = out.groupBy("sprite_id", "frame").agg(F.max_by(F.struct("version", "blocks"), "version").alias("s"))
+    return last.select("sprite_id", "frame", "s.*")

@@ -1,7 +1,7 @@
 """BC7 blocks, modes 4, 5 and 6, for many blocks at once in NumPy.
 
-A block is 16 texels of 4 channels. Mode 6 fits one line through all four channels; where
-alpha varies, modes 5 and 4 fit colour and alpha apart. The mode with the least weighted
+A block is 16 texels of 4 channels. Mode 6 fits one line through all four channels, in which
+a hidden texel has the weight of its colour's error, a sixteenth; where alpha varies, modes 5 and 4 fit colour and alpha apart. The mode with the least weighted
 error wins, the earlier of equals in the order 6, 5, 4.
 """
 
@@ -149,7 +149,7 @@ def encode(texels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hidden = x[..., 3] == 0
     colour = np.where(hidden, HIDDEN, VISIBLE)
     w4 = np.stack([colour] * 3 + [np.full_like(colour, VISIBLE)], -1)
-    best = _fit(x, np.ones((n, 16)), w4, 4, None)
+    best = _fit(x, np.where(hidden, HIDDEN / VISIBLE, 1.0), w4, 4, None)
     mode, error = np.full(n, 6), best.error.copy()
     _anchored(best, 4)
     out = _Bits(n)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +22,9 @@ def content_key(content: Column, quality: Column | int, backend: str = "s") -> C
 
 
 def sound() -> Column:
-    """Whether an entry's header holds: a known format, room for the header, dimensions and a payload."""
-    return F.col("format").isin(*FORMATS) & (F.col("size") > HEADER_BYTES) & (F.col("width") > 0) & (F.col("height") > 0)
+    """Whether an entry's header holds, and as many bytes follow it as it declares: a known format, dimensions, a payload."""
+    header = F.col("format").isin(*FORMATS) & (F.col("declared") > 0) & (F.col("width") > 0) & (F.col("height") > 0)
+    return header & (F.col("size") >= HEADER_BYTES + F.col("declared"))
 
 
 def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
@@ -83,22 +88,85 @@ def lru_contents(accesses: DataFrame, capacity: int) -> DataFrame:
     return accesses.groupBy("key").agg(F.max("seq").alias("last")).orderBy(F.desc("last"), "key").limit(capacity)
 
 
+class _Recent:
+    """The keys that a map of some capacity holds, by their last use."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.keys = capacity, OrderedDict()
+
+    def use(self, key, seq: int) -> bool:
+        """Whether key was there."""
+        hit = self.keys.pop(key, None) is not None
+        self.keys[key] = seq
+        if len(self.keys) > self.capacity:
+            self.keys.popitem(last=False)
+        return hit
+
+
+def _last_keys(capacity: int):
+    """(part, key, seq) by seq -> the last keys of the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent, part = _Recent(capacity), None
+        for batch in batches:
+            for part, key, seq in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "seq")), strict=True):
+                recent.use(key, seq)
+        if recent.keys:
+            yield _rows([part] * len(recent.keys), list(recent.keys), list(recent.keys.values()))
+
+    def _rows(part, key, seq):
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key), pa.array(seq, pa.int64())], ["part", "key", "seq"])
+
+    return run
+
+
+def _held_before(capacity: int):
+    """Last keys by (part, seq) -> what the map holds when each later part begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent, last = _Recent(capacity), None
+        for batch in batches:
+            for part, key, seq in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "seq")), strict=True):
+                if last is not None and part != last:
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(recent.keys), pa.int32()), pa.array(list(recent.keys)), pa.array(list(recent.keys.values()), pa.int64())], ["part", "key", "seq"])
+                last = part
+                recent.use(key, seq)
+
+    return run
+
+
+def _hits(capacity: int):
+    """What the map holds, then accesses, by (part, seq) -> (seq, key, hit) of the accesses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent, last = _Recent(capacity), None
+        for batch in batches:
+            said = []
+            for part, key, seq in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "seq")), strict=True):
+                if part != last:
+                    recent, last = _Recent(capacity), part
+                said.append(recent.use(key, seq))
+            out = pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("key"), pa.array(said, pa.bool_())], ["seq", "key", "hit"])
+            yield out.filter(batch.column("own"))
+
+    return run
+
+
 def lru_hits(accesses: DataFrame, capacity: int) -> DataFrame:
-    """(seq, key, hit) of accesses (key, seq) to such a map, for small capacities.
+    """(seq, key, hit) of accesses (key, seq) to such a map; keys and seqs are not null, seqs differ.
 
-    An access hits when fewer than capacity distinct keys were used since the key's last
-    access. Those are the accesses in between that are the last of their key before this
-    one: the ones whose next access of the same key is not before it.
+    The accesses are cut into ranges of seq. The map's content when a range begins is the
+    last keys used before it, merged from the last keys of each earlier range, of which
+    there are at most capacity; so ranges are gone through side by side, each once.
     """
-    own = Window.partitionBy("key").orderBy("seq")
-    rows = accesses.select("key", "seq", F.lag("seq").over(own).alias("prev"), F.lead("seq").over(own).alias("next"))
-    # an access that came back after more accesses than any gap that can hit needs no count
-    gaps = rows.filter("prev is not null").select("key", "seq", "prev")
-    inside = rows.select(F.col("seq").alias("s"), F.coalesce("next", F.lit(2**62)).alias("n"))
-    step = 1 << 10
-    bucket = lambda c: F.expr(f"{c} div {step}")
-    spans = gaps.select("*", F.explode(F.sequence(bucket("prev"), bucket("seq"))).alias("b"))
-    found = spans.join(inside.withColumn("b", bucket("s")), "b").filter("s > prev and s < seq and n >= seq").groupBy("key", "seq").agg(F.count("*").alias("between"))
-    known = gaps.join(found, ["key", "seq"], "left").select("key", "seq", (F.coalesce("between", F.lit(0)) < capacity).alias("hit"))
-    first = rows.filter("prev is null").select("key", "seq", F.lit(False).alias("hit"))
-    return known.unionByName(first).select("seq", "key", "hit")
+    spark = accesses.sparkSession
+    kind = dict(accesses.dtypes)["key"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = accesses.select("key", F.col("seq").cast("long").alias("seq")).repartitionByRange(parts, "seq")
+    rows = settle(rows.withColumn("part", F.spark_partition_id()))
+    schema = f"part int, key {kind}, seq long"
+    tails = rows.sortWithinPartitions("seq").mapInArrow(_last_keys(capacity), schema)
+    held = tails.coalesce(1).sortWithinPartitions("part", "seq").mapInArrow(_held_before(capacity), schema)
+    both = rows.select("part", "key", "seq").withColumn("own", F.lit(True)).unionByName(held.withColumn("own", F.lit(False)))
+    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "own", "seq")
+    return dealt.mapInArrow(_hits(capacity), f"seq long, key {kind}, hit boolean")

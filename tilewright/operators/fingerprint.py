@@ -60,9 +60,13 @@ def fingerprints(luma: DataFrame) -> DataFrame:
     return cells.select(F.col("image_id").cast("long").alias("image_id"), F.col("cells.luma").alias("luma")).mapInArrow(_run, "image_id long, fp long")
 
 
+#: Bands that a key joins, and up to how many differing bits that selects.
+JOINED, SELECTIVE = 3, 8
+
+
 def _bands(near: int) -> list[tuple[int, int]]:
-    """(shift, bits) of disjoint bands; wide enough to select."""
-    n = near + 1 if BITS // (near + 1) >= 8 else 7
+    """(shift, bits) of disjoint bands, so many that JOINED of them are untouched by near differing bits."""
+    n = near + JOINED
     edges = [k * BITS // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -70,26 +74,36 @@ def _bands(near: int) -> list[tuple[int, int]]:
 def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
     """(a, b, distance) of rows (id, tinted, fp) with a < b, equal tinted and at most near differing bits.
 
-    Two numbers that differ in at most near bits differ in at most near div n bits in one of
-    n bands, so an equi-join on bands, one side also probing the values that few bits away,
-    finds every pair. From 0 differing bits on, whatever near is, nothing is compared that
-    shares no band.
+    Numbers that differ in at most near bits agree in JOINED of near + JOINED bands at
+    least, so an equi-join on every choice of so many bands finds every pair; a pair
+    counts at the first choice that it agrees on. For near up to SELECTIVE a key has 15
+    bits or more (21 for 6, which makes 84 keys a row). Beyond, no key of a few bands
+    selects, as most numbers of 63 bits are that near to a good part of the others, and
+    all pairs of equal tinted are compared.
     """
-    bands = _bands(near)
-    reach = near // len(bands)
     rows = prints.select("id", "tinted", "fp")
-    shifts = [F.struct(F.lit(k).alias("band"), F.expr(f"shiftright(fp, {s}) & {(1 << n) - 1}L").alias("value")) for k, (s, n) in enumerate(bands)]
-    keyed = rows.select("*", F.explode(F.array(*shifts)).alias("k")).select("*", "k.*").drop("k")
-    masks = {n: [sum(1 << i for i in c) for r in range(reach + 1) for c in combinations(range(n), r)] for n in {n for _, n in bands}}
-    probe = F.lit(None).cast("array<bigint>")
-    for k, (_, n) in enumerate(bands):
-        probe = F.when(F.col("band") == k, F.array(*[F.lit(m).cast("long") for m in masks[n]])).otherwise(probe)
-    probing = keyed.select("id", "tinted", "fp", "band", "value", F.explode(probe).alias("mask")).withColumn("value", F.col("value").bitwiseXOR(F.col("mask")))
-    left = probing.select(F.col("id").alias("a"), F.col("fp").alias("fa"), "tinted", "band", "value")
-    right = keyed.select(F.col("id").alias("b"), F.col("fp").alias("fb"), "tinted", "band", "value")
-    distance = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    pairs = left.join(right, ["tinted", "band", "value"]).filter((F.col("a") < F.col("b")) & (distance <= near))
-    return pairs.select("a", "b", distance.alias("distance")).distinct()
+    left = rows.select(F.col("id").alias("a"), F.col("fp").alias("fa"), "tinted")
+    right = rows.select(F.col("id").alias("b"), F.col("fp").alias("fb"), "tinted")
+    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    keys = ["tinted"]
+    first = F.lit(True)
+    if near <= SELECTIVE:
+        bands = _bands(near)
+        masks = [((1 << n) - 1) << s for s, n in bands]
+        chosen = list(combinations(range(len(bands)), JOINED))
+        by_choice = F.array(*[F.struct(F.lit(k).alias("choice"), F.lit(sum(masks[i] for i in c)).cast("long").alias("mask")) for k, c in enumerate(chosen)])
+
+        def keyed(side: DataFrame, fp: str) -> DataFrame:
+            out = side.withColumn("c", F.explode(by_choice))
+            return out.select(*side.columns, F.col("c.choice").alias("choice"), F.col(fp).bitwiseAND(F.col("c.mask")).alias("value"))
+
+        left, right, keys = keyed(left, "fa"), keyed(right, "fb"), ["tinted", "choice", "value"]
+        agreeing = F.concat(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k, m in enumerate(masks)])
+        choices = F.array(*[F.array(*[F.lit(i) for i in c]) for c in chosen])
+        first = F.slice(agreeing, 1, JOINED) == F.element_at(choices, F.col("choice") + 1)
+    distance = F.bit_count(differ)
+    pairs = left.join(right, keys).filter((F.col("a") < F.col("b")) & (distance <= near) & first)
+    return pairs.select("a", "b", distance.alias("distance"))
 
 
 def families(prints: DataFrame, near: int = NEAR) -> DataFrame:

@@ -5,6 +5,9 @@ Rows are (atlas, bucket, ts, event_id, bytes, reset); (ts, event_id) orders them
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,34 +42,40 @@ def effective_budget(forced: Column, hardware: Column, configured: Column) -> Co
     return F.coalesce(forced, F.when(hardware > 0, F.floor(hardware * 0.75).cast("int")), configured)
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(device, atlas, event_id, bytes, budget) by device and time -> (event_id, admitted)."""
+    device, total, held = object(), 0, {}
+    for batch in batches:
+        said = []
+        for d, atlas, size, budget in zip(*(batch.column(c).to_pylist() for c in ("device", "atlas", "bytes", "budget")), strict=True):
+            if d != device:
+                device, total, held = d, 0, {}
+            rest = total - held.get(atlas, 0)
+            said.append(rest + size <= budget)
+            if said[-1]:
+                total = rest + size
+                if size:
+                    held[atlas] = size
+                else:
+                    held.pop(atlas, None)
+        yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(said, pa.bool_())], ["event_id", "admitted"])
+
+
 def admit(requests: DataFrame, budget: Column | int, fold_key: str | None = None) -> DataFrame:
-    """(key, event_id, admitted): requests in order, each admitted if the others' and its own bytes stay within budget.
+    """(event_id, admitted): requests in order, each admitted if the others' and its own bytes stay within budget.
 
     requests: (atlas, ts, event_id, bytes), bytes being the new size of the atlas. What is
     rejected takes no room, so the fold depends on the order. Requests fold one after the
-    other within a value of fold_key (a device, say); the values fold side by side. Without
-    fold_key there is one fold over all requests. An atlas of nothing gives its room back.
+    other within a value of fold_key (a device, say); the values fold side by side, each
+    read as a sorted stream of which only the sizes of the atlases held are kept. Without
+    fold_key there is one fold over all requests, and so one task. An atlas of nothing gives
+    its room back.
     """
     group = F.col(fold_key) if fold_key else F.lit(0)
-    rows = requests.groupBy(group.alias("device")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col("atlas").cast("string").alias("atlas"), "bytes"))).alias("rows"))
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    state = F.struct(
-        F.lit(0).cast("long").alias("total"), F.expr("cast(map() as map<string,bigint>)").alias("held"),
-        F.expr("cast(array() as array<struct<event_id:bigint,admitted:boolean>>)").alias("said"),
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        own = F.coalesce(F.element_at(s["held"], r["atlas"]), F.lit(0).cast("long"))
-        yes = s["total"] - own + r["bytes"] <= limit
-        others = F.map_filter(s["held"], lambda k, _: k != r["atlas"])
-        held = F.when(yes, F.map_concat(others, F.create_map(r["atlas"], r["bytes"]))).otherwise(s["held"])
-        return F.struct(
-            F.when(yes, s["total"] - own + r["bytes"]).otherwise(s["total"]).alias("total"), held.alias("held"),
-            F.concat(s["said"], F.array(F.struct(r["event_id"].alias("event_id"), yes.alias("admitted")))).alias("said"),
-        )
-
-    folded = rows.select("device", F.aggregate("rows", state, step, lambda s: s["said"]).alias("said"))
-    return folded.select(F.explode("said").alias("s")).select("s.*")
+    rows = requests.select(group.alias("device"), "ts", "event_id", F.col("atlas").cast("string").alias("atlas"), "bytes", limit.cast("long").alias("budget"))
+    rows = rows.repartition("device") if fold_key else rows.coalesce(1)
+    return rows.sortWithinPartitions("device", "ts", "event_id").drop("ts").mapInArrow(_fold, "event_id long, admitted boolean")
 
 
 def savings_summary(ledger: DataFrame) -> DataFrame:

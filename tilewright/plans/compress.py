@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tilewright.functions import bc1 as bc1_kernel
 from tilewright.functions import bc7
 from tilewright.operators import bc1, cache, image
+from tilewright.plans.settle import settle
+from tilewright.streaming import animation
+
+#: Blocks that go to the kernel in one call.
+TOGETHER = 4096
 
 
 def _bc7(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +38,7 @@ def packed(blocks: DataFrame) -> DataFrame:
 
 def encode_bc7(blocks: DataFrame) -> DataFrame:
     """(image_id, by, bx, lo, hi, mode): each distinct block of 16 texels is encoded once and joined back."""
-    rows = packed(blocks)
+    rows = settle(packed(blocks))  # read twice: for what is distinct, and to join it back
     done = rows.select("texels").distinct().mapInArrow(_bc7, "texels binary, lo long, hi long, mode int")
     return rows.join(done, "texels").select("image_id", "by", "bx", "lo", "hi", "mode")
 
@@ -53,8 +58,9 @@ def decode_bc7(encoded: DataFrame) -> DataFrame:
     return texel.select("image_id", F.expr("cast(bx * 4 + i % 4 as int)").alias("x"), F.expr("cast(by * 4 + i div 4 as int)").alias("y"), *[value(k).alias(c) for k, c in enumerate(image.CHANNELS)])
 
 
-def routed(images: DataFrame, policy: DataFrame, supported: tuple[str, ...] = ("BC1", "BC7")) -> DataFrame:
-    """images with format: BC7 unless the policy (image_id, format, cancelled) says otherwise; cancelled or unsupported ones are left out."""
+def routed(images: DataFrame, policy: DataFrame, supported: tuple[str, ...] = ("BC1", "BC7"), disabled: bool = False) -> DataFrame:
+    """images with format: BC7 unless the policy (image_id, format, cancelled) says otherwise; cancelled or unsupported ones are left out, all if disabled."""
+    images = images.limit(0) if disabled else images
     out = images.join(policy, "image_id", "left").withColumn("format", F.coalesce("format", F.lit("BC7")))
     return out.filter(~F.coalesce("cancelled", F.lit(False)) & F.col("format").isin(*supported)).drop("cancelled")
 
@@ -106,6 +112,23 @@ def packed_images(pixels: DataFrame) -> DataFrame:
     return rows.select("image_id", "w", "h", F.unhex(F.array_join(F.transform("t", one), "")).alias("rgba"))
 
 
+#: Rows of texels in a strip: one row of blocks.
+STRIP = 4
+
+
+def packed_strips(pixels: DataFrame) -> DataFrame:
+    """(image_id, strip, w, h, rgba) from (image_id, w, h, x, y, r, g, b, a): rows of blocks, so that no row holds a whole image.
+
+    w and h are the strip's; the last strip of an image may have fewer than STRIP rows.
+    """
+    strip = F.expr(f"cast(y div {STRIP} as int)")
+    cut = pixels.select("image_id", strip.alias("strip"), "w", F.least(F.lit(STRIP), F.col("h") - strip * STRIP).alias("h"), "x", (F.col("y") % STRIP).alias("y"), *image.CHANNELS)
+    texel = F.struct("y", "x", *image.CHANNELS)
+    one = lambda t: F.concat(*[F.lpad(F.hex(t[c].cast("long")), 2, "0") for c in image.CHANNELS])
+    rows = cut.groupBy("image_id", "strip", "w", "h").agg(F.sort_array(F.collect_list(texel)).alias("t"))
+    return rows.select("image_id", "strip", "w", "h", F.unhex(F.array_join(F.transform("t", one), "")).alias("rgba"))
+
+
 def texels_of(rgba: bytes, w: int, h: int) -> np.ndarray:
     """(blocks, 16, 4): rows of 4 x 4 blocks, edges repeated, after transparent texels have bled."""
     x = np.frombuffer(rgba, np.uint8, w * h * 4).reshape(h, w, 4).astype(np.int64)
@@ -132,15 +155,13 @@ def compress_images(images: DataFrame, target: str = "BC7", preferred: Callable[
 
     An image without a size or with too few bytes is invalid. What the preferred encoder
     refuses (an exception, or None) the engine's own encoder does; if that fails too, blocks
-    is null and reason says why.
+    is null and reason says why. Without a preferred encoder the blocks of many images go
+    to the kernel in one call; only where that fails are images taken one by one.
     """
-    own = numpy_encoder(target)
+    own, block = numpy_encoder(target), image.BLOCK_BYTES[target]
 
-    def one(w, h, rgba):
-        if w is None or h is None or rgba is None or w <= 0 or h <= 0 or len(rgba) < w * h * 4:
-            return None, "invalid image"
+    def one(texels: np.ndarray):
         reason = None
-        texels = texels_of(rgba, w, h)
         for encoder in (preferred, own):
             if encoder is None:
                 continue
@@ -152,33 +173,93 @@ def compress_images(images: DataFrame, target: str = "BC7", preferred: Callable[
                 return blocks, None if encoder is own and preferred is None or encoder is preferred else "second encoder"
         return None, reason or "no encoder took it"
 
+    def several(texels: list[np.ndarray]) -> list:
+        if preferred is None:
+            try:
+                stream = own(np.concatenate(texels))
+            except Exception:  # whose fault it is shows when each is taken by itself
+                return [one(t) for t in texels]
+            ends = np.cumsum([0, *(len(t) * block for t in texels)]).tolist()
+            return [(stream[a:b], None) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [one(t) for t in texels]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [one(w, h, rgba) for w, h, rgba in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            done, waiting, size = [(None, "invalid image")] * batch.num_rows, [], 0
+
+            def flush():
+                if waiting:
+                    for (k, _), result in zip(waiting, several([t for _, t in waiting]), strict=True):
+                        done[k] = result  # noqa: B023
+                    waiting.clear()
+
+            for k, (w, h, rgba) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("w", "h", "rgba")), strict=True)):
+                if w is None or h is None or rgba is None or w <= 0 or h <= 0 or len(rgba) < w * h * 4:
+                    continue
+                waiting.append((k, texels_of(rgba, w, h)))
+                size += len(waiting[-1][1])
+                if size >= TOGETHER:
+                    flush()
+                    size = 0
+            flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in done], pa.binary()), pa.array([r for _, r in done], pa.string())], ["image_id", "blocks", "reason"])
 
-    rows = images.selectExpr("cast(image_id as long) image_id", "w", "h", "rgba")
-    return rows.mapInArrow(run, "image_id long, blocks binary, reason string")
+    kind = dict(images.dtypes)["image_id"]
+    return images.select("image_id", "w", "h", "rgba").mapInArrow(run, f"image_id {kind}, blocks binary, reason string")
 
 
-def driver(levels: DataFrame, stored: DataFrame | None, quality: int, target: str = "BC7") -> DataFrame:
-    """(image_id, w, h, key, blocks, source) of (image_id, w, h, rgba), the levels of one atlas by number.
+def driver(strips: DataFrame, stored: DataFrame | None, quality: int, target: str = "BC7") -> DataFrame:
+    """(image_id, strip, w, h, key, blocks, source) of (image_id, strip, w, h, rgba), the levels of one atlas by number.
 
-    A level whose key, size and payload are stored comes from there; each distinct other
-    level is encoded once. Levels from the first that fails on are left out.
+    A strip whose key, size and payload are stored comes from there; of the others, each
+    distinct content is encoded once. Levels from the first with a strip that fails on are
+    left out.
     """
     block = image.BLOCK_BYTES[target]
-    keyed = levels.withColumn("key", cache.content_key(F.col("rgba"), quality))
+    keyed = strips.withColumn("key", cache.content_key(F.col("rgba"), quality)).withColumn("key", F.concat_ws(":", "key", "w", "h"))
     size = F.expr(f"cast((w + 3) div 4 * ((h + 3) div 4) * {block} as bigint)")
     if stored is None:
-        known, missing = keyed.limit(0).select("image_id", "w", "h", "key", F.lit(None).cast("binary").alias("blocks")), keyed
+        known, missing = keyed.limit(0).select("image_id", "strip", "w", "h", "key", F.lit(None).cast("binary").alias("blocks")), keyed
     else:
-        sound = stored.filter(F.length("blocks") == size).select("key", "w", "h", F.col("blocks")).dropDuplicates(["key", "w", "h"])
-        known = keyed.join(sound, ["key", "w", "h"]).select("image_id", "w", "h", "key", "blocks")
-        missing = keyed.join(sound.select("key", "w", "h"), ["key", "w", "h"], "left_anti")
-    encoded = compress_images(missing, target).select("image_id", "blocks")
-    fresh = missing.select("image_id", "w", "h", "key").join(encoded, "image_id")
-    every = known.withColumn("source", F.lit("cache")).unionByName(fresh.withColumn("source", F.lit("encoded")).select("image_id", "w", "h", "key", "blocks", "source"))
+        sound = stored.filter(F.length("blocks") == size).select("key", "blocks").dropDuplicates(["key"])
+        known = keyed.join(sound, "key").select("image_id", "strip", "w", "h", "key", "blocks")
+        missing = keyed.join(sound.select("key"), "key", "left_anti")
+
+    def encode(contents: DataFrame) -> DataFrame:
+        done = compress_images(contents.select(F.col("key").alias("image_id"), "w", "h", "rgba"), target)
+        return done.select(F.col("image_id").alias("key"), "blocks")
+
+    fresh = cache.encoded_once(missing, encode, ["key"]).select("image_id", "strip", "w", "h", "key", "blocks")
+    every = known.withColumn("source", F.lit("cache")).unionByName(fresh.withColumn("source", F.lit("encoded")))
     every = every.withColumn("ok", F.coalesce(F.length("blocks") == size, F.lit(False)))
-    failed = every.filter(~F.col("ok")).agg(F.min("image_id").alias("failed"))
-    return every.join(F.broadcast(failed)).filter("failed is null or image_id < failed").drop("failed", "ok")
+    failed = every.filter(~F.col("ok")).agg(F.min("image_id").alias("failed"))  # one row
+    return every.crossJoin(F.broadcast(failed)).filter("failed is null or image_id < failed").drop("failed", "ok")
+
+
+def post_records(done: DataFrame, target: str = "BC7") -> DataFrame:
+    """(image_id, format, saved, resident): what is told of each compressed image, from the strips of driver()."""
+    sums = done.groupBy("image_id").agg(F.sum(F.length("blocks").cast("long")).alias("resident"), F.sum(F.expr("cast(w as bigint) * h * 4")).alias("full"))
+    return sums.select("image_id", F.lit(target).alias("format"), (F.col("full") - F.col("resident")).alias("saved"), "resident")
+
+
+def patched(retained: DataFrame, frame: DataFrame, rects: DataFrame) -> DataFrame:
+    """Texels (image_id, x, y, r, g, b, a) of retained, with those of frame in the rectangles (image_id, x, y, w, h)."""
+    at = frame.join(rects.select("image_id", F.col("x").alias("rx"), F.col("y").alias("ry"), "w", "h"), "image_id").filter("x >= rx and x < rx + w and y >= ry and y < ry + h")
+    new = at.select("image_id", "x", "y", *image.CHANNELS).dropDuplicates(["image_id", "x", "y"])
+    keys = ["image_id", "x", "y"]
+    return retained.select(*keys, *image.CHANNELS).join(new, keys, "left_anti").unionByName(new.join(retained.select(*keys), keys, "left_semi"))
+
+
+def touched_blocks(rects: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, by, bx): the blocks that rectangles (image_id, x, y, w, h) touch, which must be encoded anew."""
+    grown = animation.patch_rects(rects.withColumnsRenamed({"image_id": "atlas_id"}).withColumn("rect_id", F.lit(0)), width, height)
+    by = grown.select(F.col("atlas_id").alias("image_id"), "x", "w", F.explode(F.expr("transform(sequence(y div 4, (y + h - 1) div 4), v -> cast(v as int))")).alias("by"))
+    return by.select("image_id", "by", F.explode(F.expr("transform(sequence(x div 4, (x + w - 1) div 4), v -> cast(v as int))")).alias("bx")).distinct()
+
+
+def patched_blocks(retained: DataFrame, frame: DataFrame, rects: DataFrame, width: int, height: int, target: str = "BC7") -> DataFrame:
+    """New blocks (image_id, by, bx, ...) after a frame was written into the retained texels: those touched, and no others."""
+    dirty = touched_blocks(rects, width, height)
+    texels = patched(retained, frame, rects).join(dirty.withColumnsRenamed({"by": "dy", "bx": "dx"}), "image_id").filter("y div 4 = dy and x div 4 = dx").drop("dy", "dx")
+    cells = image.blocks(texels.withColumns({"w": F.lit(width), "h": F.lit(height)})).join(dirty, ["image_id", "by", "bx"], "left_semi")
+    return encode_bc7(cells) if target == "BC7" else bc1.encode(cells)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and go on from there; a private folder only where none is named."""
+    """Write df to the folder in spark.checkpoint.dir and go on from there; a private folder only where a local session names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named and (sc.master or "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tilewright-"))
     return df.checkpoint(eager=True)

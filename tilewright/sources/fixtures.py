@@ -77,13 +77,13 @@ ledger AS (
 
 
 def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, format, width, height, quality, size, last_access, payload): a cache file a document."""
+    """(key, format, width, height, quality, size, declared, last_access, entry_id): a cache file a document, some cut short."""
     d = read(spark, sf_dir, "documents")
     n = F.col("doc_id")
     return d.select(
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.when(n % 4 == 0, "bc1").when(n % 11 == 5, "tmp").otherwise("bc7").alias("format"),
         (n % 7 * 4).cast("int").alias("width"), (n % 5 * 4 + 4).cast("int").alias("height"), (n % 3 + 3).cast("int").alias("quality"),
-        (F.coalesce("n_chars", F.lit(0)) + 24).cast("long").alias("size"), n.alias("last_access"), n.alias("entry_id"),
+        (F.coalesce("n_chars", F.lit(0)) + 24 - F.when(n % 13 == 4, 1).otherwise(0)).cast("long").alias("size"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("declared"), n.alias("last_access"), n.alias("entry_id"),
     )
 
 
@@ -91,7 +91,7 @@ CACHE_SQL = """
 cache AS (
   SELECT sha256(coalesce(text, '')) AS key, CASE WHEN doc_id % 4 = 0 THEN 'bc1' WHEN doc_id % 11 = 5 THEN 'tmp' ELSE 'bc7' END AS format,
          CAST(doc_id % 7 * 4 AS INTEGER) AS width, CAST(doc_id % 5 * 4 + 4 AS INTEGER) AS height, CAST(doc_id % 3 + 3 AS INTEGER) AS quality,
-         CAST(coalesce(n_chars, 0) + 24 AS BIGINT) AS size, doc_id AS last_access, doc_id AS entry_id
+         CAST(coalesce(n_chars, 0) + 24 - CASE WHEN doc_id % 13 = 4 THEN 1 ELSE 0 END AS BIGINT) AS size, CAST(coalesce(n_chars, 0) AS BIGINT) AS declared, doc_id AS last_access, doc_id AS entry_id
   FROM documents)"""
 
 

@@ -128,10 +128,41 @@ def registered(events: DataFrame) -> DataFrame:
 
 
 def settled(events: DataFrame, quiet: int = QUIET_TICKS, give_up: int = GIVE_UP_TICKS) -> DataFrame:
-    """(atlas, settled_at): the tick at which an atlas has been quiet for so long, at most give_up; from (atlas, tick)."""
-    gap = F.lead("tick").over(Window.partitionBy("atlas").orderBy("tick")) - F.col("tick")
-    ends = events.withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") > quiet))
-    return ends.groupBy("atlas").agg(F.least(F.min("tick") + quiet, F.lit(give_up)).alias("settled_at"))
+    """(atlas, settled_at): the tick at which an atlas has been quiet for so long, at most give_up.
+
+    events: (atlas, tick), an event at a tick; if there is a column until, work that is
+    pending from tick until then; if there is a column seen, the tick at which the atlas's
+    target was seen (null: never), before which nothing is settled.
+    """
+    stop = F.greatest("tick", "until") if "until" in events.columns else F.col("tick")
+    seen = F.max(F.col("seen") if "seen" in events.columns else F.lit(0)).over(Window.partitionBy("atlas"))
+    order = Window.partitionBy("atlas").orderBy("tick")
+    rows = events.select("atlas", "tick", F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("busy"), F.lead("tick").over(order).alias("next"), seen.alias("seen"))
+    done = F.greatest(F.col("busy") + quiet, "seen")
+    ends = F.when(F.col("seen").isNotNull() & (F.col("next").isNull() | (F.col("next") > done)), done)
+    return rows.groupBy("atlas").agg(F.least(F.min(ends), F.lit(give_up)).alias("settled_at"))
+
+
+def upgrade_stream(changes: DataFrame) -> DataFrame:
+    """(sprite_id, frame, version, blocks) after each change of an entry, over a stream of (sprite_id, frame, tick, blocks, made_for).
+
+    A fast result (made_for is null) is written at once as a new version. A better one takes
+    its place only while the entry still has the version that it was made for. Changes come
+    in the order of ticks; an entry's version and blocks are its state.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("tick")
+        version, blocks = state.get if state.exists else (0, -1)
+        changed = False
+        for new, made in zip(rows["blocks"].tolist(), rows["made_for"].tolist(), strict=True):
+            if pd.isna(made) or int(made) == version:
+                version, blocks, changed = version + 1, int(new), True
+        if changed:
+            state.update((version, blocks))
+            yield pd.DataFrame({"sprite_id": [key[0]], "frame": [key[1]], "version": [version], "blocks": [blocks]})
+
+    return changes.groupBy("sprite_id", "frame").applyInPandasWithState(run, "sprite_id long, frame int, version long, blocks long", "version long, blocks long", "update", "NoTimeout")
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:
