@@ -22,6 +22,7 @@ recurses nor goes back: its work is linear in the text.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,12 +45,18 @@ NEEDS = {
     "phone": r"\+",
     "ip": r"[0-9]\.[0-9]",
     "card": r"[0-9](?:[\x20-]?[0-9]){15}",
-    "credential": rf"""(?i:{_SECRETS})["']?[\x20\t]{{0,2}}[=:]""",
-    "": r"(?=[0-9A-Za-z:+/_-])(?:[0-9][0-9][.-][0-9]{4}|[0-9]{6}|[A-Z][A-Z][0-9][0-9]|:[0-9A-Fa-f]{2}:|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}|(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.?\x20\p{Lu})",
+    "credential": rf"""[=:](?<=(?i:{_SECRETS})["']?[\x20\t]{{0,2}}[=:])""",
+    # one of several: each starts at a character that is rare in prose, so that the look is quick
+    "": (
+        r"[0-9](?:[0-9][.-][0-9]{4}|[0-9]{5}|(?=[A-Za-z0-9+/_-]{12})|(?<=[A-Za-z0-9+/_-]{12}))",
+        r"[A-Z][A-Z][0-9][0-9]",
+        r":[0-9A-Fa-f]{2}:",
+        r"[MDPHFS](?:rs?|s|onsieur|adame|rof|err|rau|eñora?)\.?\x20\p{Lu}",
+    ),
 }
 
 #: Candidate kinds of the method. Credentials are looked for by themselves, the others all at once.
-CREDENTIAL = rf"""(?<=(?i:{_SECRETS})["']?[\x20\t]{{0,2}}[=:][\x20\t]{{0,2}}["']?)(?<![A-Za-z0-9])[^\s"'<>,;\[\]=:][^\s"'<>,;\[\]]{{5,}}+"""
+CREDENTIAL = rf"""(?<=[=:\x20\t"'])(?<=(?i:{_SECRETS})["']?[\x20\t]{{0,2}}[=:][\x20\t]{{0,2}}["']?)(?<![A-Za-z0-9])[^\s"'<>,;\[\]=:][^\s"'<>,;\[\]]{{5,}}+"""
 CANDIDATES = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+(.-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
@@ -101,7 +108,8 @@ ACCEPT = 0.9
 
 _ORDER = {kind: i for i, kind in enumerate([*BASE, *KINDS])}
 #: Candidates are found by kind and, under no name, all others at once.
-SOUGHT = {"credential": CREDENTIAL, "": "|".join(CANDIDATES.values())}
+#: In words only their first letters are looked at: no candidate starts at a small letter after a letter or digit.
+SOUGHT = {"credential": CREDENTIAL, "": r"(?:(?![a-z])|(?<![A-Za-z0-9]))(?:" + "|".join(CANDIDATES.values()) + ")"}
 
 
 def _digits(m: Column) -> Column:
@@ -131,10 +139,11 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _zipped(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Pairs (gap, match) of a text; the last gap has a null match. Null without a match of needs, or else of the pattern."""
+def _zipped(text: Column, pattern: str, needs: str | tuple) -> Column:
+    """Pairs (gap, match) of a text; the last gap has a null match. Null without a match of needs, or of any of them."""
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    return F.when(F.regexp_like(text, F.lit(needs or pattern)), pairs)
+    some = [F.regexp_like(text, F.lit(p)) for p in ((needs,) if isinstance(needs, str) else needs)]
+    return F.when(reduce(Column.__or__, some), pairs)
 
 
 def _kind_of(m: Column) -> Column:
@@ -156,7 +165,7 @@ def _matches_of(text: Column, kind: str, pattern: str) -> Column:
         size = (F.length(z["gap"]) + F.length(z["match"])).cast("long")
         return F.struct(F.lit(kind).alias("kind"), i.alias("i"), size.alias("size"), context.alias("context"), z["match"].alias("match"))
 
-    found = F.filter(F.transform(_zipped(text, pattern, NEEDS.get(kind)), row), lambda r: r["match"].isNotNull())
+    found = F.filter(F.transform(_zipped(text, pattern, NEEDS[kind]), row), lambda r: r["match"].isNotNull())
     return F.coalesce(found, F.array().cast(_ROW))
 
 
@@ -381,7 +390,7 @@ def _marked(text: Column, kind: str, pattern: str) -> Column:
         own = F.when(z["match"].isNull(), "").when(valid(kind, z["match"]), f"[{kind.upper()}]").otherwise(z["match"])
         return F.concat(z["gap"], own)
 
-    return F.coalesce(F.array_join(F.transform(_zipped(text, pattern, NEEDS.get(kind)), piece), ""), text)
+    return F.coalesce(F.array_join(F.transform(_zipped(text, pattern, NEEDS[kind]), piece), ""), text)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
