@@ -180,6 +180,15 @@ def test_recall_through_splits(stored):
     assert all(r.n_links == links[r.doc_id] for r in got if r.direct and r.class_id == root[r.doc_id] and r.n_links)
 
 
+def test_near_query(spark):
+    from tilewright.llm.common import table
+
+    rows = sorted((r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").collect())
+    links, root = brute(rows)
+    got = {r.doc_id: r for r in queries.op3_jaccard_join(spark, SF).collect()}
+    assert {i: (got[i].class_id, got[i].n_links) for i in got} == {i: (rows[r][0], n) for (i, _), r, n in zip(rows, root, links)}
+
+
 def test_near_edges_and_empty(edges, empty):
     got = jaccard_join.jaccard_join(edges).collect()
     assert len(got) == 15 and sum(r.kept for r in got) == len({(r.class_id, r.n_links) for r in got if r.kept})

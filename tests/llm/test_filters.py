@@ -25,7 +25,7 @@ def rule_for(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-ODD = [None, "", "no scheme", "://", "HTTP://A.Example.COM/en/1?x=/en/", "https://example.com/en/7#f", "http://com/en/", "http://xcom/en/", "ftp://net/de/?q", "http://a.example.net/de/88", "http://ÄB.org/es/é", "a://b://c/d", "http://x.org?/es/", "http://x.org#/es/"]
+ODD = [None, "", "no scheme", "://", "HTTP://A.Example.COM/en/1?x=/en/", "https://example.com/en/7#f", "http://com/en/", "http://xcom/en/", "ftp://net/de/?q", "http://a.example.net/de/88", "http://ÄB.org/es/é", "a://b://c/d", "http://x.org?/es/", "http://x.org#/es/", "http://a\x01b.org/\x02\x01", "http://\x02.net/x"]
 
 
 def pages(stored, extra=()):
@@ -46,8 +46,22 @@ def test_urls_rules_and_models(stored):
         assert math.isclose(r.score, scores[r.host, r.path], rel_tol=1e-9, abs_tol=1e-9)
         decided = rule_for(r.host, r.path)[1]
         assert r.verdict == decided if decided else r.verdict in ("allow", "block")
-    limits = [r.score for r in got if not r.rule and r.verdict == "allow"], [r.score for r in got if not r.rule and r.verdict == "block"]
-    assert not limits[0] or not limits[1] or min(limits[0]) > max(limits[1])
+    limit = brute_threshold(rows, scores)
+    assert all(r.verdict == ("allow" if r.score >= limit else "block") for r in got if not r.rule)
+    assert {r.verdict for r in got if not r.rule} == {"allow", "block"}
+
+
+def brute_threshold(rows, scores):
+    """Of all steps, the one with the best mean of accepted rows at or above and rejected rows below it."""
+    test = spark_hash_test(rows)
+    judged = [(scores[h, p], v) for h, p, v in ((*host_path(u), rule_for(*host_path(u))[1]) for _, u in rows) if v and test[h, p]]
+    good, bad = ([s for s, v in judged if v == want] for want in ("allow", "block"))
+    if not good or not bad:
+        return 0.0
+    steps = range(-url_filter.BINS, url_filter.BINS + 1)
+    step = lambda s: max(-url_filter.BINS, min(url_filter.BINS, math.floor(s / url_filter.STEP)))
+    worth = lambda k: (sum(step(s) >= k for s in good) / len(good) + sum(step(s) < k for s in bad) / len(bad), -abs(k), k)
+    return max(map(worth, steps))[2] * url_filter.STEP
 
 
 def spark_hash_test(rows):
@@ -62,10 +76,11 @@ def spark_hash_test(rows):
 def brute_scores(rows, order=url_filter.ORDER):
     test = spark_hash_test(rows)
     count, seen = [{} for _ in "ar"], set()
+    marked = lambda h, p: "\x01" * order + (h + p).translate({1: 0xFFFD, 2: 0xFFFD}) + "\x02"
     for _, u in rows:
         h, p = host_path(u)
         verdict = rule_for(h, p)[1]
-        s = "\x01" * order + h + p + "\x02"
+        s = marked(h, p)
         for k in range(order, len(s)):
             for n in range(order + 1):
                 g = s[k - n : k + 1]
@@ -85,7 +100,7 @@ def brute_scores(rows, order=url_filter.ORDER):
 
     out = {}
     for h, p in {host_path(u) for _, u in rows}:
-        s = "\x01" * order + h + p + "\x02"
+        s = marked(h, p)
         out[h, p] = sum(logp(count[0], s, k) - logp(count[1], s, k) for k in range(order, len(s))) / (len(s) - order)
     return out
 
@@ -133,6 +148,32 @@ def test_base_spans_against_plain_patterns(stored, edges, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_personal_data_query(spark):
+    from tilewright.llm.common import table
+
+    text = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in queries.op6_personal_data(spark, SF).collect()}
+    assert set(got) == set(text)
+    for i, t in text.items():
+        spans = base_spans(t)
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(s.startswith(k + ":") for s in spans) for k in pii.BASE]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and got[i].spans.split(",")[: len(spans)] == (spans or got[i].spans.split(",")[:0])
+
+
+def test_url_query_and_threshold(spark):
+    from tilewright.llm.common import table
+
+    rows = [(r.page_id, r.url) for r in table(spark, SF, "pages").select("page_id", "url").collect()]
+    got = {r.page_id: r for r in queries.op2_url_filter(spark, SF).collect()}
+    scores = brute_scores(rows)
+    limit = brute_threshold(rows, scores)
+    for i, u in rows:
+        h, p = host_path(u)
+        rule, verdict = rule_for(h, p)[0], rule_for(h, p)[1]
+        assert (got[i].host, got[i].path, got[i].rule) == (h, p, rule) and math.isclose(got[i].score, scores[h, p], rel_tol=1e-9, abs_tol=1e-9)
+        assert got[i].verdict == (verdict or ("allow" if got[i].score >= limit else "block"))
+
+
 def test_long_runs_stay_linear(stored):
     rows = [(1, "1 " * 200_000), (2, "a" * 400_000), (3, "1." * 150_000), (4, "+1" + "-" * 300_000 + "2")]
     got = {r.doc_id: r for r in pii.find_personal_data(stored(rows, clash=False)).collect()}

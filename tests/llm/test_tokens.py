@@ -186,4 +186,20 @@ def test_bpe_query_and_edges(spark, edges, empty):
         want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted((str(r[0]), *r[1:]) for r in bpe.encode_decode(edges).collect()) == sorted(want)
     assert bpe.encode_decode(empty).count() == 0
-    assert queries.op9_bpe(spark, SF).count() == 200
+
+
+def test_token_queries_equal_the_library(spark):
+    from tilewright.llm.common import table
+
+    rows = [(r.doc_id, r.text or "") for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    lib, want = vocab._load(WORD), []
+    start, stores = 0, []
+    for i, t in sorted(rows):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        text = lib.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        stores.append((i, start, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())))
+        start += len(ids) + 1
+    assert sorted(map(tuple, queries.op9_bpe(spark, SF).collect())) == want
+    assert sorted(map(tuple, queries.op7_token_store(spark, SF).collect())) == stores
+    check_packed(queries.op8_best_fit_packing(spark, SF).collect(), rows)

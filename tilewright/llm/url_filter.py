@@ -63,7 +63,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 def _windows(urls: DataFrame, keep: list[str], order: int) -> DataFrame:
     """A row for each character of host and path and for their end, with its context."""
-    padded = F.concat(F.lit(_PAD * order), "host", "path", F.lit(_END))
+    # a url's own marks would be taken for its start or end
+    plain = F.translate(F.concat("host", "path"), _PAD + _END, "\ufffd\ufffd")
+    padded = F.concat(F.lit(_PAD * order), plain, F.lit(_END))
     rows = urls.select(*keep, padded.alias("s"))
     at = F.explode(F.sequence(F.lit(1), F.length("s") - order)).alias("at")
     return rows.select(*keep, "s", at).select(*keep, F.expr(f"substring(s, at, {order + 1})").alias("w"))
@@ -94,7 +96,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     the verdict is "allow" when score, the log-likelihood difference per character, reaches
     the calibrated threshold, else "block". Without accepted or without rejected urls the
     threshold is 0. Null urls and urls without :// have an empty host and path and are
-    judged by their end alone. Repeated rows count and are answered once each; null ids are
+    judged by their end alone. The characters U+0001 and U+0002 are scored as U+FFFD, and
+    shown as they are. Repeated rows count and are answered once each; null ids are
     kept. Further columns are not read. An empty table gives an empty result.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
