@@ -144,10 +144,15 @@ def trimmed(run: Callable, uses: str = "") -> Callable:
             if name != uses:
                 make.cache_clear()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return ends
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

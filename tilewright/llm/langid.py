@@ -17,13 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import give_back, trimmed
 
 #: Language families by ISO 639-1 code. Codes that are missing here are families of their own.
 FAMILIES = {
@@ -101,7 +101,8 @@ class Hierarchy:
         for i, a in enumerate(classes):
             for b in classes[i + 1 :]:
                 rows = (names == a) | (names == b)
-                out[a, b] = fit_svm(x[rows], np.where(names[rows] == a, 1.0, -1.0).astype(np.float32))
+                some = x if rows.all() else x[rows]
+                out[a, b] = fit_svm(some, np.where(names[rows] == a, 1.0, -1.0).astype(np.float32))
         return out
 
     @staticmethod
@@ -135,10 +136,11 @@ class Hierarchy:
         return out, score
 
 
-def _sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, order, text) -> (lang, order, x)."""
     for batch in batches:
-        batch = batch[[has_letter(t) for t in batch["text"]]]
-        yield pd.DataFrame({"lang": batch["lang"], "order": batch["order"], "x": [features(t).astype(np.float16).tobytes() for t in batch["text"]]})
+        x = [features(t).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary())], ["lang", "order", "x"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Hierarchy:
@@ -158,12 +160,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     for name, n in sorted(counts.items()):
         share = share | ((F.col("lang") == name) & (F.col("order") < int(min(1.0, (1.25 * sample + 50) / max(1, n)) * (1 << 40))))
     drawn = rows.filter(share).groupBy("lang", "order").agg(F.min("text").alias("text"))
-    got = drawn.mapInPandas(trimmed(_sent), "lang string, order long, x binary").toPandas()
-    got = got.sort_values(["lang", "order", "x"]).groupby("lang").head(sample)
-    x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, FEATURES).astype(np.float32)
-    langs = got["lang"].tolist()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    drawn = drawn.withColumn("place", place).filter(F.col("place") <= sample).select("lang", "order", "text")
+    got = drawn.mapInArrow(trimmed(_sent), "lang string, order long, x binary").toArrow()
+    order = pc.sort_indices(got.select(["lang", "order"]), [("lang", "ascending"), ("order", "ascending")])
+    langs = got["lang"].take(order).to_pylist()
+    x = np.empty((len(langs), FEATURES), np.float32)
+    for k, i in enumerate(order.to_pylist()):
+        x[k] = np.frombuffer(got["x"][i].as_buffer(), np.float16)
     del got
-    return Hierarchy(x, langs)
+    model = Hierarchy(x, langs)
+    del x
+    give_back()
+    return model
 
 
 def _answers(model: Hierarchy, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
