@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import itertools
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
@@ -14,6 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: After so many cuts the driver looks for shuffles that nothing needs any more.
+LOOK = 6
+_CUTS = itertools.count(1)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; a private one only where a local session names none."""
     sc = spark.sparkContext
@@ -26,9 +33,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files."""
+    """Write df to the shared checkpoint folder and go on from the files.
+
+    Files of shuffles that led to it go when the JVM finds them without a reference, which
+    a driver with memory to spare does late; so it is asked to look, every few times.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_CUTS) % LOOK == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def spread(df: DataFrame, least: int = 2) -> int:
