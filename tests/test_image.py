@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -336,3 +338,34 @@ def test_content_hash_by_hand():
     for w, h in ((1, 1), (2, 3), (3, 3), (8, 8)):
         x = rng.integers(0, 256, (5, w * h * 4)).astype(np.uint8)
         assert content.hashes(x, w, h, 1).tolist() == [plain(r.tobytes(), w, h, 1) for r in x]
+
+
+def snake(n, seed=1):
+    """(id, tinted, fp) with ids in no order: each number is within 6 bits of those beside it only."""
+    rng = random.Random(seed)
+    ids, fp, last, rows = rng.sample(range(n), n), 0, [], []
+    for i in ids:
+        rows.append((i, False, fp))
+        flip = rng.sample([b for b in range(62) if b not in last], 6)
+        fp ^= sum(1 << b for b in flip)
+        last = (last + flip)[-42:]
+    return rows
+
+
+def test_families_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from tilewright.operators import components
+
+    made, settled = [], components.settle
+    monkeypatch.setattr(components, "settle", lambda df: made.append(settled(df)) or made[-1])
+    got = fingerprint.families(spark.createDataFrame(snake(300), "id long, tinted boolean, fp long"), 6).collect()
+    assert len(got) == 300 and {r.family_id for r in got} == {0}
+    assert len(made) <= 20
+
+
+def test_settled_tables_do_not_grow_in_the_plan(spark):
+    from tilewright.plans.settle import settle
+
+    t = spark.range(20)
+    for _ in range(8):
+        t = settle(t.join(t.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert t.count() == 20 and t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64

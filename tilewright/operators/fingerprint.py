@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.components import connected
 from tilewright.plans.settle import settle
 
 CELLS = 8
@@ -114,19 +115,8 @@ def families(prints: DataFrame, near: int = NEAR) -> DataFrame:
     """
     prints = settle(prints.select("id", "tinted", "fp"))
     classes = prints.groupBy("tinted", "fp").agg(F.min("id").alias("rep"))
-    edges = near_pairs(classes.withColumnRenamed("rep", "id"), near).select("a", "b")
-    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = settle(classes.select(F.col("rep").alias("id"), F.col("rep").alias("label")))
-    while True:
-        seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("least"))
-        step = labels.join(seen, labels["id"] == seen["a"], "left").select("id", "label", F.least("label", F.coalesce("least", "label")).alias("next"))
-        # follow the label's own label, which halves the length of chains
-        own = step.select(F.col("id").alias("next"), F.col("next").alias("further"))
-        new = settle(step.join(own, "next").select("id", F.col("label").alias("old"), F.least("next", "further").alias("label")))
-        if new.filter("label <> old").isEmpty():
-            break
-        labels = new.select("id", "label")
-    named = classes.join(labels, classes["rep"] == labels["id"]).select("tinted", "fp", F.col("label").alias("family_id"))
+    roots = connected(near_pairs(classes.withColumnRenamed("rep", "id"), near).select("a", "b"))
+    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("tinted", "fp", F.coalesce("root", "rep").alias("family_id"))
     return prints.join(named, ["tinted", "fp"]).select(F.col("id").alias("sprite_id"), "family_id")
 
 
