@@ -276,3 +276,37 @@ def test_short_texts_at_other_similarities(stored, similarity):
     got = jaccard_join.jaccard_join(stored(rows), similarity=similarity, limit=2).collect()
     size = Counter(r.class_id for r in got)
     assert {r.doc_id: r.n_links for r in got} == {r.doc_id: links[r.doc_id] if r.direct else size[r.class_id] - 1 for r in got}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_linked_sets_choose_a_token_in_common_whatever_is_frequent(similarity):
+    """No link is left to chance: also where all common tokens but one are frequent, or come last by hash."""
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, np.uint64)
+    for size in [12, 13, 40, 101, 300]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            common = -(-round(similarity * 1_000_000) * size // 1_000_000)
+            last = a[np.argsort(jaccard_join.mix(a))][size - common :]  # the part whose hashes are the largest
+            for b in (np.sort(last), np.sort(rng.permutation(a)[:common])):
+                for frequent in (none, np.sort(b[1:]), np.sort(b)):
+                    x, y = (jaccard_join.firsts(s, similarity, frequent) for s in (a, b))
+                    assert np.intersect1d(x, y).size
+
+
+def test_sketches_rule_out_only_what_cannot_be_by_chance():
+    """A pair at the threshold has so few equal bins with a chance below DOUBT; five standard deviations were one in a million."""
+    assert jaccard_join._alike(np.array([34, 30, 20]), np.array([64, 64, 64]), 0.8).all()
+    assert not jaccard_join._alike(np.array([5]), np.array([64]), 0.8).any()
+
+
+def test_no_link_is_lost_in_texts_that_share_a_passage(stored):
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(34)]
+    rows = []
+    for k in range(250):
+        own = [f"w{k}.{i}" for i in range(90)]
+        for other in (own, [*own[:-12], *[f"v{k}.{i}" for i in range(12)]]):
+            rows.append((len(rows), " ".join(passage + other if rng.random() < 0.99 else other)))
+    links, root = brute_fast(rows)
+    linked_right({r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), limit=8).collect()}, links, root)
