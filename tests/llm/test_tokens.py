@@ -203,3 +203,16 @@ def test_token_queries_equal_the_library(spark):
     assert sorted(map(tuple, queries.op9_bpe(spark, SF).collect())) == want
     assert sorted(map(tuple, queries.op7_token_store(spark, SF).collect())) == stores
     check_packed(queries.op8_best_fit_packing(spark, SF).collect(), rows)
+
+
+def test_whole_texts_reach_the_library_in_small_parts(monkeypatch):
+    import pyarrow as pa
+
+    from tilewright.llm import vocab
+
+    encoder = vocab.ByteEncoder(vocab.path("byte_bpe_50k.json"))
+    texts = ["a  b\t" * 60_000, "plain words", None, "c\r\n" * 200_000, "d  e " * 90_000, ""]
+    sizes, each = [], encoder._each
+    monkeypatch.setattr(encoder, "_each", lambda some: sizes.append(sum(map(len, some))) or each(some))
+    got = list(encoder.encode_all(pa.array([t or "" for t in texts])))
+    assert got == each([t or "" for t in texts]) and max(sizes) <= 1 << 20

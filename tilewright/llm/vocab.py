@@ -25,7 +25,9 @@ ENTRY = 170
 #: Longer pieces are encoded but not remembered.
 LONGEST = 64
 #: Texts that are encoded together, and the bytes after which fewer are.
-TOGETHER, TOGETHER_BYTES = 2048, 16 << 20
+TOGETHER, TOGETHER_BYTES = 1024, 4 << 20
+#: Bytes of whole texts that the library gets in one call: what it makes of a token takes a hundred bytes or more.
+WHOLE_BYTES = 1 << 20
 #: Pieces that the library gets as one string.
 JOINED = 2000
 _MARKS = string.punctuation
@@ -147,7 +149,8 @@ class PieceEncoder:
     def _encode_slice(self, texts: pa.Array) -> list[bytes]:
         whole = pc.match_substring_regex(texts, self.whole_pattern).to_numpy(zero_copy_only=False).astype(bool)
         at_whole = np.flatnonzero(whole)
-        as_whole = dict(zip(at_whole.tolist(), self._each(texts.take(pa.array(at_whole)).to_pylist()) if at_whole.size else [], strict=True))
+        encoded = [ids for some in portions(texts.take(pa.array(at_whole, pa.int64())), TOGETHER, WHOLE_BYTES) for ids in self._each(some.to_pylist())]
+        as_whole = dict(zip(at_whole.tolist(), encoded, strict=True))
         lists = self.split(pc.if_else(pa.array(whole), "", texts))
         coded = lists.flatten().dictionary_encode()
         names, both = self._parted(coded.dictionary)
