@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF, same
 from pyspark.sql import functions as F
@@ -310,3 +311,35 @@ def test_no_link_is_lost_in_texts_that_share_a_passage(stored):
             rows.append((len(rows), " ".join(passage + other if rng.random() < 0.99 else other)))
     links, root = brute_fast(rows)
     linked_right({r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), limit=8).collect()}, links, root)
+
+
+def test_frequent_tokens_come_last_before_any_set_is_moved(stored, monkeypatch):
+    """A passage in more sets than the limit: sets choose once, where all memberships were moved again for each hot bucket found."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for _ in range(1500):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        for other in (own, [*own[:-8], *[f"v{rng.randrange(10**6)}" for _ in range(8)]])[: rng.choice([1, 1, 2])]:
+            rows.append((len(rows), " ".join(passage + other)))
+    moved, shared = [], jaccard_join._Join.shared
+    monkeypatch.setattr(jaccard_join._Join, "shared", lambda self, lists: moved.append(1) or shared(self, lists))
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(stored(rows), limit=64).collect()}
+    links, root = brute_fast(rows)
+    linked_right(got, links, root)
+    assert len(moved) == 1
+
+
+@pytest.mark.parametrize("most", [1 << 20, 30])
+def test_frequent_tokens_of_a_sample(stored, most):
+    """All tokens of a passage, none of the rest; of too many, the most frequent ones."""
+    common, rare = [f"p{k}" for k in range(20)], [f"q{k}" for k in range(40)]
+    rows = [(k, " ".join([*common, *(rare if k % 4 == 0 else []), *[f"w{k}.{i}" for i in range(30)]])) for k in range(800)]
+    docs = stored(rows)
+    tables = jaccard_join._Tables(docs.sparkSession)
+    got = jaccard_join.frequent_tokens(docs.selectExpr("monotonically_increasing_id() uid", "text"), tables, 0.8, 5, 64, 4, most)
+    tables.drop()
+    of = lambda t: set(next(jaccard_join.shingle_sets(pa.array([" ".join(t)]))).tolist())
+    assert (np.diff(got.astype(object)) > 0).all() and of(common) <= set(got.tolist())
+    assert set(got.tolist()) & of(rare) == (of(rare) if most > 30 else set())
+    assert not set(got.tolist()) & of([f"w5.{i}" for i in range(30)])
