@@ -61,6 +61,20 @@ def test_workers_drop_what_other_tasks_remember():
         assert encoder.held <= 10_000
 
 
+@pytest.mark.parametrize("kind,file", [(vocab.WordEncoder, WORD), (vocab.ByteEncoder, BYTE)])
+def test_words_that_come_back_stay_when_the_room_is_full(kind, file):
+    """Words of every text are encoded once, however many others pass; all were forgotten when the room was full."""
+    rng = random.Random(5)
+    encoder, lib, asked = kind(file, remember=40_000), vocab._load(file), []
+    fresh = encoder._fresh
+    encoder._fresh = lambda pieces: asked.extend(pieces) or fresh(pieces)
+    for _ in range(80):
+        text = " ".join(["often", "again", "there", *["".join(rng.choices("abcdefgh", k=9)) for _ in range(30)]])
+        assert encoder.encode(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.held <= 20_000
+    assert asked.count("again") == asked.count("there") == 1 and len(asked) > 2000
+
+
 def test_backtracking_equals_merging():
     rng = random.Random(2)
     coder = bpe.word_bpe(WORD).merger

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .common import portions, remembered
 
-#: About as many bytes of pieces and their ids a worker remembers before it starts afresh.
-REMEMBER = 40 << 20
+#: About as many bytes of pieces and their ids a worker remembers: half of them the latest, half those before.
+REMEMBER = 64 << 20
 #: What a remembered piece takes beside its letters and ids.
 ENTRY = 170
 #: Longer pieces are encoded but not remembered.
@@ -63,7 +63,8 @@ class PieceEncoder:
 
     def __init__(self, file: str, remember: int = REMEMBER):
         self.tokenizer, self.remember, self.held = _load(file), remember, 0
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.flags = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -111,19 +112,29 @@ class PieceEncoder:
         return out
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. When the latest take half of the room, they become those before, and what is met again goes on."""
         got = list(map(self.known.get, pieces))
-        new = [p for p, ids in zip(pieces, got, strict=True) if ids is None]
-        if not new:
-            return got
-        found = self._fresh(new)
+        met, new = {}, []
+        for p, ids in zip(pieces, got, strict=True):
+            if ids is None:
+                ids = self.before.get(p)
+                if ids is not None:
+                    met[p] = ids
+                elif p:
+                    new.append(p)
+        if not met and not new:
+            return [ids or b"" for ids in got]
+        found = self._fresh(new) if new else {}
         short = {p: ids for p, ids in found.items() if len(p) <= LONGEST}
+        short.update(met)
         size = sum(ENTRY + len(p) + len(ids) for p, ids in short.items())
-        if self.held + size > self.remember:
-            self.known, self.held = {"": b""}, 0
-        if size <= self.remember:
+        if self.held + size > self.remember // 2:
+            self.known, self.before, self.held = {}, self.known, 0
+        if size <= self.remember // 2:
             self.known.update(short)
             self.held += size
-        return [found[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+        found.update(met)
+        return [found.get(p, b"") if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
 
     def _parted(self, pieces: pa.Array) -> tuple[list[str], np.ndarray]:
         """Pieces that repeat more often, and which two of them make up each piece.
