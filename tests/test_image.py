@@ -369,3 +369,13 @@ def test_settled_tables_do_not_grow_in_the_plan(spark):
     for _ in range(8):
         t = settle(t.join(t.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
     assert t.count() == 20 and t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+
+
+def test_keys_of_near_pairs_are_not_broadcast(spark):
+    rows = snake(300)
+    prints = spark.createDataFrame(rows, "id long, tinted boolean, fp long").groupBy("tinted", "fp").agg(F.min("id").alias("id"))
+    pairs = fingerprint.near_pairs(prints, 6)
+    want = {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and (p[2] ^ q[2]).bit_count() <= 6}
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -96,7 +96,8 @@ def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
 
         def keyed(side: DataFrame, fp: str) -> DataFrame:
             out = side.withColumn("c", F.explode(by_choice))
-            return out.select(*side.columns, F.col("c.choice").alias("choice"), F.col(fp).bitwiseAND(F.col("c.mask")).alias("value"))
+            # Spark takes a side for as large as it was before the choices, and would broadcast it from the driver
+            return out.select(*side.columns, F.col("c.choice").alias("choice"), F.col(fp).bitwiseAND(F.col("c.mask")).alias("value")).hint("merge")
 
         left, right, keys = keyed(left, "fa"), keyed(right, "fb"), ["tinted", "choice", "value"]
         agreeing = F.concat(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k, m in enumerate(masks)])
