@@ -379,3 +379,14 @@ def test_keys_of_near_pairs_are_not_broadcast(spark):
     assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_families_do_not_broadcast_keys(spark, monkeypatch):
+    edges, connected = [], fingerprint.connected
+    monkeypatch.setattr(fingerprint, "connected", lambda e: edges.append(e) or connected(e))
+    rows = [*snake(40), *[(i, i % 2 == 1, -1) for i in range(40, 60)]]
+    got = fingerprint.families(spark.createDataFrame(rows, "id long, tinted boolean, fp long"), 6).collect()
+    assert {r.sprite_id: r.family_id for r in got} == {i: 0 if i < 40 else 40 + i % 2 for i in range(60)}
+    edges[0].collect()
+    plan = edges[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
